@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, quality, toxicity
+from . import exact_dedup, media, mixing, packing, quality, secrets, toxicity, warc
 from .common import LOWER, UPPER, load
 
 
@@ -19,6 +19,23 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.media_column(load(spark, sf_dir, "documents")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = warc.archive(spark, load(spark, sf_dir, "pages"))
+    return warc.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(load(spark, sf_dir, "documents"), secrets.default_forest(spark))
+    real = F.filter("findings", lambda x: x["secret"])
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(real).cast("long").alias("n_secrets"),
+        F.array_sort(F.transform(real, lambda x: F.sha2(x["candidate"], 256))).alias("secret_sha256"),
+        F.array_max(F.transform("findings", lambda x: x["score"])).alias("max_score"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,9 +58,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op6_packing, op7_quality, op8_toxicity, op9_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op3_secrets, op6_packing, op7_quality, op8_toxicity, op9_exact_dedup, op10_mixing)}
 
 ORACLE_SQL = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+     g AS (SELECT h, max(page_id) AS top FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, true AS valid
+FROM d LEFT JOIN g ON d.h = g.h""",
     "op9_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
