@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bits of the survivor bitmaps. A bitmap of 2**23 bits is 256 rows of 4 KiB whatever the input, so it can be broadcast.
+BITMAP_BITS = 1 << 23
+
 _own_folder: str | None = None
 
 
@@ -52,3 +55,27 @@ def ascii_lower(text: Column) -> Column:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def bitmap(keys: DataFrame, slot: Column) -> DataFrame:
+    """Rows (_bucket, _bits) of a fixed-size bitmap over the slots 1..BITMAP_BITS."""
+    return (
+        keys.select(slot.alias("_slot"))
+        .groupBy(F.expr("bitmap_bucket_number(_slot)").alias("_bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_slot))").alias("_bits"))
+    )
+
+
+def bitmap_slot(key: Column, bits: int) -> Column:
+    return F.pmod(key, F.lit(bits)).cast("long") + 1
+
+
+def bitmap_marked(df: DataFrame, bits: DataFrame, slot: Column, flag: str) -> DataFrame:
+    """``df`` with a boolean ``flag``: is the row's slot set in the bitmap? The bitmap's size is fixed, so it is broadcast."""
+    named = bits.select(F.col("_bucket").alias(f"{flag}_bucket"), F.col("_bits").alias(f"{flag}_bits"))
+    with_slot = df.withColumn(f"{flag}_slot", slot)
+    joined = with_slot.join(F.broadcast(named), F.expr(f"bitmap_bucket_number({flag}_slot) = {flag}_bucket"), "left")
+    byte = F.expr(f"cast(conv(hex(substring({flag}_bits, cast(bitmap_bit_position({flag}_slot) div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr(f"cast(pmod(bitmap_bit_position({flag}_slot), 8) as int)")
+    hit = F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return joined.withColumn(flag, hit).drop(f"{flag}_slot", f"{flag}_bucket", f"{flag}_bits")

@@ -5,37 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty, written
+from .common import BITMAP_BITS, ascii_lower, bitmap, bitmap_marked, bitmap_slot, text_or_empty, written
 
-#: Bits of the survivor bitmaps. A bitmap of 2**23 bits is 256 rows of 4 KiB whatever the input, so it can be broadcast.
-BITMAP_BITS = 1 << 23
 PREFIX_CHARS = 256
 
 
-def _bitmap(keys: DataFrame, slot: Column) -> DataFrame:
-    """Rows (_bucket, _bits) of a fixed-size bitmap over the slots 1..BITMAP_BITS."""
-    return (
-        keys.select(slot.alias("_slot"))
-        .groupBy(F.expr("bitmap_bucket_number(_slot)").alias("_bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_slot))").alias("_bits"))
-    )
-
-
-def _slot(key: Column, bits: int) -> Column:
-    return F.pmod(key, F.lit(bits)).cast("long") + 1
-
-
-def _marked(df: DataFrame, bitmap: DataFrame, slot: Column, flag: str) -> DataFrame:
-    """``df`` with a boolean ``flag``: is the row's slot set in the bitmap? The bitmap's size is fixed, so it is broadcast."""
-    named = bitmap.select(F.col("_bucket").alias(f"{flag}_bucket"), F.col("_bits").alias(f"{flag}_bits"))
-    with_slot = df.withColumn(f"{flag}_slot", slot)
-    joined = with_slot.join(F.broadcast(named), F.expr(f"bitmap_bucket_number({flag}_slot) = {flag}_bucket"), "left")
-    byte = F.expr(f"cast(conv(hex(substring({flag}_bits, cast(bitmap_bit_position({flag}_slot) div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = F.expr(f"cast(pmod(bitmap_bit_position({flag}_slot), 8) as int)")
-    hit = F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return joined.withColumn(flag, hit).drop(f"{flag}_slot", f"{flag}_bucket", f"{flag}_bits")
-
-
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -57,13 +31,13 @@ def exact_groups(
     """
     base = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_raw")).withColumn("_len", F.octet_length("_raw").cast("long"))
     lengths = base.groupBy("_len").count().where("count > 1")
-    marked = _marked(base, _bitmap(lengths, _slot(F.col("_len"), bitmap_bits)), _slot(F.col("_len"), bitmap_bits), "_same_len")
+    marked = bitmap_marked(base, bitmap(lengths, bitmap_slot(F.col("_len"), bitmap_bits)), bitmap_slot(F.col("_len"), bitmap_bits), "_same_len")
 
     prefix = F.when(F.col("_same_len"), F.xxhash64(ascii_lower(F.substring("_raw", 1, prefix_chars))))
     staged = marked.withColumn("_prefix", prefix)
     prefixes = staged.where("_prefix is not null").groupBy("_len", "_prefix").count().where("count > 1")
     both = F.xxhash64("_len", "_prefix")
-    marked = _marked(staged, _bitmap(prefixes, _slot(both, bitmap_bits)), _slot(both, bitmap_bits), "_same_prefix")
+    marked = bitmap_marked(staged, bitmap(prefixes, bitmap_slot(both, bitmap_bits)), bitmap_slot(both, bitmap_bits), "_same_prefix")
 
     survives = F.col("_same_len") & F.col("_same_prefix")
     light = written(
