@@ -165,3 +165,10 @@ def mix(
         (F.col("_size") * times).alias("taken"),
         times.alias("times"),
     )
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix` takes it (0, 1 or 2 times); columns unchanged. Ids are taken as unique."""
+    times = mix(docs, id_col, text_col, source_col, **options).where("times > 0").select(F.col(id_col).alias("_taken_id"), F.col("times").cast("int").alias("_times"))
+    taken = docs.join(times, F.col(id_col).eqNullSafe(F.col("_taken_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
