@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, near_dedup, packing, quality, secrets, toxicity, warc
+from . import exact_dedup, media, mixing, near_dedup, packing, quality, secrets, suffix_dedup, toxicity, warc
 from .common import LOWER, UPPER, load
 
 
@@ -40,6 +40,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), words=2)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -62,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op3_secrets, op4_near_dedup, op6_packing, op7_quality, op8_toxicity, op9_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op3_secrets, op4_near_dedup, op5_suffix_dedup, op6_packing, op7_quality, op8_toxicity, op9_exact_dedup, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_warc": """
