@@ -1,4 +1,228 @@
 """The registered queries over the test tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as geo
+from .functions.frechet import frechet_native
+from .functions.grid import hilbert_column
+from .operators import batch, knn, quadtree, range_query, segments, tools
+from .operators import trajectories as T
+from .plans import oracle
+from .sources.layout import Layout, new_folder, present_cells, write_flat, write_trajectories
+from .sources.points import fixture_points
+
+BITS, EPS, K, BATCH_EPS, BATCH_STEP = 4, 20.25, 5, 8.25, 500
+MEDIUM_EPS = 200.37
+RECT, SEG = (3.0, 2.0, 20.0, 7.0), ((5.0, 1.0), (40.0, 9.0))
+
+_layouts: dict[tuple, Layout] = {}
+
+
+def layout(spark: SparkSession, sf_dir: str, *parts: str, fixture: str = "short") -> Layout:
+    """The stored layouts of a fixture, written once for a session, with the asked-for extra tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, fixture)
+    if key not in _layouts:
+        _layouts[key] = write_trajectories(T.build_trajectories(fixture_points(spark, sf_dir, fixture)), new_folder(spark, fixture), BITS)
+    for part in parts:
+        if (*key, part) not in _layouts:
+            _layouts[(*key, part)] = {"flat": write_flat, "shapes": quadtree.write_shapes, "segments": segments.write_segments}[part](_layouts[key])
+    return _layouts[key]
+
+
+def query_of(own: Layout, n: int | None = 4) -> list[tuple[float, float]]:
+    """The trajectory with the smallest id, of those with n points."""
+    row = (own.whole if n is None else own.whole.where(F.col("n_points") == n)).orderBy("id").select("pts").first()
+    return [(p["x"], p["y"]) for p in row["pts"]] if row else []
+
+
+def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.build_trajectories(fixture_points(spark, sf_dir)).select("id", "n_points", *T.RECT)
+
+
+def _tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir)
+    return T.tracklets(own.whole, own.grid).select("id", "ix", "iy", "seq_start", "seq_end", "is_last", "n_points", *T.RECT)
+
+
+def _reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.reassemble(layout(spark, sf_dir).tracks).select("id", "n_points", "n_tracklets", F.round(F.aggregate("pts", F.lit(0.0), lambda a, p: a * 0.5 + p["x"] + p["y"]), 6).alias("check"))
+
+
+def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout(spark, sf_dir).tracks.select("id", "seq_start", F.explode("pivots").alias("p")).select("id", "seq_start", "p.x", "p.y")
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir)
+    return tools.load_stats(own.whole, own.tracks, BITS)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout(spark, sf_dir).tracks.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.min("min_x").alias("least_x"))
+
+
+def _hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = spark.range(1 << BITS)
+    both = side.select(F.explode(F.sequence(F.lit(0), F.lit((1 << BITS) - 1))).alias("iy"), F.col("id").cast("int").alias("ix"))
+    return both.select("ix", "iy", hilbert_column(F.col("ix"), F.col("iy"), BITS).alias("cell"))
+
+
+def _brute(spark: SparkSession, sf_dir: str, fixture: str = "short", n: int | None = 4, eps: float = EPS) -> DataFrame:
+    own = layout(spark, sf_dir, fixture=fixture)
+    return range_query.brute_force(own.whole, query_of(own, n), eps).select("id", "n_points")
+
+
+def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir)
+    return own.whole.where(frechet_native(F.col("pts"), query_of(own)) <= EPS).select("id", "n_points")
+
+
+def _range(variant: str, local: str, is_exact: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir)
+    return range_query.range_query(own, query_of(own), EPS, variant, local, is_exact)
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir, "flat")
+    return range_query.range_query(own, query_of(own), EPS, flat=True)
+
+
+def _two_phase(local: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir)
+    return range_query.two_phase(own, query_of(own), EPS, local)
+
+
+def _funnel(variant: str, local: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir)
+    return range_query.funnel(own, query_of(own), EPS, variant, local)
+
+
+def _indexed(f: Callable, part: str, value: float, spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir, *([part] if part else []))
+    out = f(own, query_of(own), value)
+    return out.withColumn("frechet", F.round("frechet", 6)) if "frechet" in out.columns else out
+
+
+def _knn_brute(spark: SparkSession, sf_dir: str, fixture: str = "short", n: int | None = 4) -> DataFrame:
+    own = layout(spark, sf_dir, fixture=fixture)
+    return knn.rank(own.whole, query_of(own, n), K).withColumn("frechet", F.round("frechet", 6))
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = layout(spark, sf_dir)
+    queries = own.whole.where(F.col("id") % BATCH_STEP == 0).select(F.col("id").alias("qid"), "pts")
+    return batch.batch_range(own, queries, BATCH_EPS).select("qid", "id")
+
+
+def _shape_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout(spark, sf_dir, "shapes").shapes.select("id", "quad", "level", "shape", "key")
+
+
+def _dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout(spark, sf_dir, "shapes").shapes.select("id", F.size("dp_idx").alias("n_kept"), (F.size("dp_boxes") / 8).cast("int").alias("n_boxes"))
+
+
+def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout(spark, sf_dir, "segments").segments.select("id", "seq_start", "seg_type", "key", "signature")
+
+
+def _box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.box_count(fixture_points(spark, sf_dir), F.col("x"), F.col("y"), (10.0, 2.0, 30.0, 6.0))
+
+
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.struct((F.col("o_totalprice") / 10000).alias("x"), F.month("o_orderdate").cast("double").alias("y")).alias("p"))
+    rect, box = [F.lit(v) for v in RECT], [F.col("p.x"), F.col("p.y"), F.col("p.x") + 1, F.col("p.y") + 2]
+    end, c = F.struct((F.col("p.x") + 9).alias("x"), (F.col("p.y") - 4).alias("y")), F.col("p")
+    r = lambda v, n: F.round(v, 6).alias(n)
+    return p.select(
+        "o_orderkey", r(geo.distance(c, SEG[0]), "point_point"), geo.within(c, SEG[0], 6.5).alias("near"), r(geo.point_rect(c, rect), "point_rect"), r(geo.point_rect_minmax(c, rect), "point_rect_minmax"),
+        r(geo.point_segment(c, *SEG), "point_segment"), r(geo.rect_rect(box, rect), "rect_rect"), geo.in_box(c, rect).alias("inside"), geo.segment_crosses_rect(c, end, rect).alias("crosses"),
+    )
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.as_query_lines(T.sample_whole(layout(spark, sf_dir).whole, 1000))
+
+
+def _sample_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.as_query_lines(T.sample_parts(layout(spark, sf_dir, fixture="medium").whole, 1000))
+
+
+def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.rectangle_lines(tools.random_rectangles(spark, 1000, (1.0, 0.0, 50.0, 10.0), 0, 10**9, (5.0, 1.0, 10**6)))
+
+
+def _present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present_cells(layout(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+
+
+LOCALS = {"dist": "dist", "mbr": "mbr", "pivot": "pivot"}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "load_trajectories": _trajectories, "load_stats": _stats, "tracklets": _tracklets, "tracklet_reassembly": _reassembly, "pivots": _pivots, "cell_counts": _cells, "present_cells": _present, "hilbert_cells": _hilbert,
+    "range_brute": _brute, "range_brute_medium": partial(_brute, fixture="medium", n=None, eps=MEDIUM_EPS), "range_native": _native,
+    **{f"range_{k}_{v}": partial(_range, v, k, True) for k in LOCALS for v in ("v1", "v2", "v3", "v4")},
+    "range_mbr_twophase": partial(_two_phase, "mbr"), "range_pivot_twophase": partial(_two_phase, "pivot"), "range_flat": _flat,
+    "range_xzshape": partial(_indexed, quadtree.range_query, "shapes", EPS), "range_segment": partial(_indexed, segments.range_query, "segments", EPS),
+    **{f"range_approx_{k}_{v}": partial(_range, v, k, False) for k in LOCALS for v in ("v2", "v3")},
+    **{f"funnel_{k}_{v}": partial(_funnel, v, k) for k in LOCALS for v in ("v2", "v3")},
+    "funnel_xzshape": partial(_indexed, quadtree.funnel, "shapes", EPS),
+    "knn_brute": _knn_brute, "knn_brute_customer": partial(_knn_brute, fixture="customer", n=4), "knn_grid": partial(_indexed, knn.knn, "", K), "knn_grid_reassembled": partial(_indexed, knn.knn_reassembled, "", K),
+    "knn_xzshape": partial(_indexed, quadtree.knn, "shapes", K), "knn_segment": partial(_indexed, segments.knn, "segments", K),
+    "batch_range": _batch, "shape_key": _shape_key, "segment_signature": _signature, "dp_features": _dp, "box_filter": _box, "geo_distances": _geo,
+    "export_sample": _sample, "export_parts": _sample_parts, "gen_rectangles": _rectangles,
+}
+
+_range_sql, _knn_sql = oracle.range_sql(EPS), oracle.knn_sql(K)
+_with_runs = f"WITH {oracle.points()}, {oracle.runs(BITS)}"
+_gap = "greatest({a} - {v}, 0, {v} - {b})"
+
+
+def _geo_sql() -> str:
+    x0, y0, x1, y1 = RECT
+    (ax, ay), (bx, by) = SEG
+    t = f"greatest(0, least(1, ((x - {ax}) * {bx - ax} + (y - {ay}) * {by - ay}) / {(bx - ax) ** 2 + (by - ay) ** 2}))"
+    sq = lambda v, a, b, near: f"power({v} - CASE WHEN {v} {'<=' if near else '>='} {(a + b) / 2} THEN {a} ELSE {b} END, 2)"
+    # the segment (x, y) - (x + 9, y - 4) meets the rectangle when the ranges of its parameter on both axes and [0, 1] overlap
+    return f"""SELECT o_orderkey, round(sqrt(power(x - {ax}, 2) + power(y - {ay}, 2)), 6) AS point_point, sqrt(power(x - {ax}, 2) + power(y - {ay}, 2)) <= 6.5 AS near,
+round(sqrt(power(greatest({x0} - x, 0, x - {x1}), 2) + power(greatest({y0} - y, 0, y - {y1}), 2)), 6) AS point_rect,
+round(sqrt(least({sq('x', x0, x1, True)} + {sq('y', y0, y1, False)}, {sq('x', x0, x1, False)} + {sq('y', y0, y1, True)})), 6) AS point_rect_minmax,
+round(sqrt(power({ax} + {t} * {bx - ax} - x, 2) + power({ay} + {t} * {by - ay} - y, 2)), 6) AS point_segment,
+round(sqrt(power(greatest({x0} - (x + 1), 0, x - {x1}), 2) + power(greatest({y0} - (y + 2), 0, y - {y1}), 2)), 6) AS rect_rect,
+x BETWEEN {x0} AND {x1} AND y BETWEEN {y0} AND {y1} AS inside,
+greatest(0, ({x0} - x) / 9, ({y1} - y) / -4) <= least(1, ({x1} - x) / 9, ({y0} - y) / -4) AS crosses
+FROM (SELECT o_orderkey, o_totalprice / 10000 AS x, CAST(month(o_orderdate) AS DOUBLE) AS y FROM orders)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "load_trajectories": f"WITH {oracle.points()} SELECT id, any_value(n) AS n_points, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM p GROUP BY id",
+    "tracklets": f"{_with_runs} SELECT id, ix, iy, s AS seq_start, e AS seq_end, last AS is_last, k AS n_points, x0 AS min_x, y0 AS min_y, x1 AS max_x, y1 AS max_y FROM t",
+    "tracklet_reassembly": f"""{_with_runs} SELECT p.id, any_value(n) AS n_points, any_value(z.nt) AS n_tracklets, round(sum((x + y) * power(0.5, n - i)), 6) AS "check"
+FROM p JOIN (SELECT id, count(*) AS nt FROM t GROUP BY id) z ON z.id = p.id GROUP BY p.id""",
+    "pivots": f"{_with_runs}, {oracle.PIVOTS} SELECT pv.id, t.s AS seq_start, pv.x, pv.y FROM pv JOIN t USING (id, run)",
+    "cell_counts": f"{_with_runs} SELECT ix, iy, count(*) AS n, min(x0) AS least_x FROM t GROUP BY ix, iy",
+    "present_cells": f"{_with_runs} SELECT count(DISTINCT (ix, iy)) AS n FROM t",
+    "load_stats": f"""{_with_runs}, z AS (SELECT id, count(DISTINCT (ix, iy)) AS c, count(*) AS nt, sum(k) AS np FROM t GROUP BY id),
+s AS (SELECT count(*) AS n_trajectories, CAST(sum(np) AS BIGINT) AS n_points, CAST(sum(nt) AS BIGINT) AS n_tracklets, round(avg(c), 6) AS cells_per_trajectory FROM z),
+a AS (SELECT count(DISTINCT (ix, iy)) AS active_cells FROM t)
+SELECT s.*, active_cells, {4 ** BITS} - active_cells AS empty_cells, round(n_points / n_tracklets, 6) AS points_per_tracklet, round(n_points / active_cells, 6) AS points_per_cell, round(n_points / n_trajectories, 6) AS points_per_trajectory FROM s, a""",
+    "hilbert_cells": oracle.hilbert_sql(BITS),
+    **{k: _range_sql for k in QUERIES if k.startswith("range_") and "approx" not in k and "medium" not in k},
+    "range_brute_medium": oracle.range_sql(MEDIUM_EPS, "medium", None),
+    **{f"range_approx_{k}_{v}": oracle.approx_sql(EPS, BITS, k) for k in LOCALS for v in ("v2", "v3")},
+    **{f"funnel_{k}_{v}": oracle.funnel_sql(EPS, BITS, k, v) for k in LOCALS for v in ("v2", "v3")},
+    **{k: _knn_sql for k in QUERIES if k.startswith("knn_") and "customer" not in k},
+    "knn_brute_customer": oracle.knn_sql(K, "customer", 4),
+    "batch_range": oracle.batch_sql(BATCH_EPS, BATCH_STEP),
+    "shape_key": oracle.shape_sql(quadtree.G, quadtree.ALPHA, quadtree.BETA),
+    "segment_signature": oracle.segment_sql(BITS, quadtree.G, segments.ROWS, segments.COLS),
+    "box_filter": f"WITH raw AS ({oracle.FIXTURES['short']}) SELECT count(*) AS n FROM raw WHERE x BETWEEN 10 AND 30 AND y BETWEEN 2 AND 6",
+    "geo_distances": _geo_sql(),
+}
