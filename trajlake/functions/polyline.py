@@ -43,11 +43,14 @@ def point_to_boxes(p: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     origin = boxes[:, 0]
     u, v = boxes[:, 1] - origin, boxes[:, 3] - origin
     length, height = np.hypot(u[:, 0], u[:, 1]), np.hypot(v[:, 0], v[:, 1])
-    # a flat box keeps the direction of the side it has
-    eu = np.where(length[:, None] > 0, u / np.where(length > 0, length, 1)[:, None], 0)
-    ev = np.where(height[:, None] > 0, v / np.where(height > 0, height, 1)[:, None], 0)
-    eu = np.where((length == 0)[:, None], np.where((height > 0)[:, None], np.stack([ev[:, 1], -ev[:, 0]], 1), [1.0, 0.0]), eu)
-    ev = np.where((height == 0)[:, None], np.stack([-eu[:, 1], eu[:, 0]], 1), ev)
+    # the longer side gives the direction: that of a side of no length is noise
+    swap = height > length
+    long, size = np.where(swap[:, None], v, u), np.maximum(length, height)
+    eu = np.where((size > 0)[:, None], long / np.where(size > 0, size, 1)[:, None], [1.0, 0.0])
+    short = np.where(swap[:, None], u, v)
+    ev = np.stack([-eu[:, 1], eu[:, 0]], 1)
+    ev *= np.where((short * ev).sum(1) < 0, -1, 1)[:, None]
+    length, height = size, np.minimum(length, height)
     d = p[:, None, :] - origin[None]
     s, t = (d * eu[None]).sum(2), (d * ev[None]).sum(2)
     ds, dt = np.maximum(np.maximum(-s, s - length), 0), np.maximum(np.maximum(-t, t - height), 0)
