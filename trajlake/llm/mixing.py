@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, reserve: int = 4096) -> np.ndarray:
-    """How many documents of each size to take so that their sizes add up to ``budget`` or just below it.
+    """How many documents of each size to take so that their sizes add up to ``budget``, or nearly so.
 
     Takes every size in proportion first, then single documents from large to small while ``reserve`` words stay open,
     and closes the rest by a bounded-knapsack dynamic programme over the documents still free.
@@ -39,17 +39,18 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, reserve: int
 
 
 def _knapsack(sizes: np.ndarray, free: np.ndarray, room: int) -> np.ndarray:
-    """The counts, within ``free``, whose sizes add up to the largest sum that is at most ``room``."""
+    """The counts, within ``free``, whose sizes add up to the sum nearest to ``room``, the lower of two."""
     out = np.zeros_like(free)
     if room <= 0:
         return out
+    goal, room = room, 2 * room
     first = np.full(room + 1, -1, np.int64)  # the step that first reached this sum
     reached = np.zeros(room + 1, bool)
     reached[0] = True
     steps: list[tuple[int, int]] = []
     for i in np.flatnonzero((sizes > 0) & (sizes <= room) & (free > 0)):
         many, part = min(int(free[i]), room // int(sizes[i])), 1
-        while many > 0 and not reached[room]:
+        while many > 0 and not reached[goal]:
             part = min(part, many)
             w = part * int(sizes[i])
             new = np.zeros_like(reached)
@@ -59,9 +60,10 @@ def _knapsack(sizes: np.ndarray, free: np.ndarray, room: int) -> np.ndarray:
             steps.append((i, part))
             reached |= new
             many, part = many - part, part * 2
-        if reached[room]:
+        if reached[goal]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - goal).argmin()])
     while at > 0:
         i, part = steps[first[at]]
         out[i] += part
