@@ -66,8 +66,9 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(docs, rows, empty, k):
+@pytest.mark.parametrize("k,block", [(2, near_dedup.BLOCK_SHINGLES), (5, near_dedup.BLOCK_SHINGLES), (2, 150), (5, 150)])
+def test_near_duplicates(docs, rows, empty, k, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
     sets = {i: shingles(t, k) for i, t, *_ in rows}
     comp = {i: i for i in sets}
     changed = True

@@ -17,8 +17,9 @@ from .components import connected_components
 #: 24 bands of 4 values (minimum and maximum under two permutations): documents of similarity 0.8 share no band once in 300,000.
 BANDS, PERMUTATIONS_PER_BAND = 24, 2
 PERMUTATIONS = BANDS * PERMUTATIONS_PER_BAND
-#: Members and queries of a star are compared in blocks of about this many.
-BLOCK = 64
+#: Members and queries of a star are compared in blocks of about this many shingles; a set weighs its size and a constant,
+#: so that a block holds at most about 2000 sets. Blocks by weight bound a task's memory and copy short sets seldom.
+BLOCK_SHINGLES, SET_WEIGHT = 1 << 17, 64
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -167,12 +168,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(connected_components(links), "near-components")
 
     named = first.select(F.col("node").alias("_c"), F.col("component").alias("_comp"))
-    placed = stars.join(named, F.col("_node") == F.col("_c"), "left").select("_hub", "_node", F.coalesce("_comp", "_node").alias("_comp"))
+    placed = stars.join(named, F.col("_node") == F.col("_c"), "left").select("_hub", "_node", "_n", F.coalesce("_comp", "_node").alias("_comp"))
     top = first.select(F.col("node").alias("_t"), F.col("component").alias("_top"))
-    placed = written(placed.join(top, F.col("_hub") == F.col("_t"), "left").select("_hub", "_node", "_comp", F.coalesce("_top", "_hub").alias("_hub_comp")), "near-placed")
-    strays = F.count_if(F.col("_comp") != F.col("_hub_comp"))
-    open_stars = placed.groupBy("_hub").agg(F.count(F.lit(1)).alias("_size"), strays.alias("_strays")).where("_strays > 0 and _size > 1").withColumnRenamed("_hub", "_star")
-    open_stars = written(open_stars.select("_star", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"), F.ceil(F.col("_strays") / BLOCK).cast("int").alias("_query_blocks")), "near-open")
+    placed = written(placed.join(top, F.col("_hub") == F.col("_t"), "left").select("_hub", "_node", "_n", "_comp", F.coalesce("_top", "_hub").alias("_hub_comp")), "near-placed")
+    weight = F.col("_n") + SET_WEIGHT
+    strays = F.sum(F.when(F.col("_comp") != F.col("_hub_comp"), weight))
+    open_stars = placed.groupBy("_hub").agg(F.count(F.lit(1)).alias("_size"), F.sum(weight).alias("_weight"), strays.alias("_strays")).where("_strays > 0 and _size > 1").withColumnRenamed("_hub", "_star")
+    open_stars = written(open_stars.select("_star", F.ceil(F.col("_weight") / BLOCK_SHINGLES).cast("int").alias("_blocks"), F.ceil(F.col("_strays") / BLOCK_SHINGLES).cast("int").alias("_query_blocks")), "near-open")
     inside = placed.join(open_stars, F.col("_hub") == F.col("_star"))
     slots = lambda n: F.pmod(F.xxhash64("_node", F.lit(n)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
