@@ -196,6 +196,8 @@ def test_fit_budget_reaches_its_budget():
         budget = int(r.integers(0, (sizes * counts).sum() + 5))
         take = mixing.fit_budget(sizes, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
+        mixed = r.permutation(len(sizes))
+        assert (mixing.fit_budget(sizes[mixed], counts[mixed], budget) == take[mixed]).all()
         reach = {0}
         for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
             reach = {a + k * s for a in reach for k in range(c + 1) if a + k * s <= 2 * budget}

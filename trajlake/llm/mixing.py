@@ -18,9 +18,15 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, reserve: int
     """How many documents of each size to take so that their sizes add up to ``budget``, or nearly so.
 
     Takes every size in proportion first, then single documents from large to small while ``reserve`` words stay open,
-    and closes the rest by a bounded-knapsack dynamic programme over the documents still free.
+    and closes the rest by a bounded-knapsack dynamic programme over the documents still free. ``sizes`` are distinct, and
+    the order in which they come makes no difference.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
+    ascending = np.argsort(sizes, kind="stable")
+    if not (ascending[:-1] < ascending[1:]).all():
+        out = np.empty_like(counts)
+        out[ascending] = fit_budget(sizes[ascending], counts[ascending], budget, reserve)
+        return out
     total = int((sizes * counts).sum())
     if total <= budget:
         return counts.copy()
