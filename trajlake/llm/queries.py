@@ -77,6 +77,30 @@ SELECT page_id, n::BIGINT AS payload_bytes, d.h AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, true AS valid
 FROM d LEFT JOIN g ON d.h = g.h""",
+    "op4_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS x FROM w),
+     n AS (SELECT doc_id, len(x)::BIGINT AS n FROM s),
+     t AS (SELECT doc_id, n, unnest(x) AS x FROM s JOIN n USING (doc_id)),
+     l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT r.d, e.b FROM r JOIN e ON r.c = e.a)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM n JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) ON doc_id = d""",
+    "op5_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     n AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM b),
+     g AS (SELECT doc_id, n, k, substring(h, 2 * k + 1, 2246) AS c FROM (SELECT *, unnest(range(0, n - 99, 1024)) AS k FROM n)),
+     w AS (SELECT doc_id, k + i AS i, md5(substring(c, 2 * i + 1, 200)) AS x FROM (SELECT *, unnest(range(0, least(1024, n - 99 - k))) AS i FROM g)),
+     r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+     j AS (SELECT doc_id, i, (i - lag(i, 1, -101) OVER (PARTITION BY doc_id ORDER BY i) > 100)::INT AS starts FROM r),
+     s AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM j),
+     z AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM s GROUP BY doc_id, span),
+     y AS (SELECT z.*, h, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM z JOIN n USING (doc_id)),
+     k AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans, string_agg(substring(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substring(any_value(h), 2 * max(hi) + 1) AS kept FROM y GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)""",
     "op9_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
