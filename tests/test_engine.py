@@ -55,7 +55,7 @@ def test_revisited_cells_and_reassembly(loops):
     assert L.open_layout(loops.spark, loops.path).grid == loops.grid
 
 
-@pytest.mark.parametrize("eps,want", [(0.0, {"a"}), (-1.0, set()), (8.0, {"a", "d"}), (100.0, {"a", "c", "d"})])
+@pytest.mark.parametrize("eps,want", [(0.0, {"a"}), (-1.0, set()), (8.0, {"a"}), (8.07, {"a", "d"}), (100.0, {"a", "c", "d"})])
 def test_range_on_all_indexes(loops, eps, want):
     query = [(0.0, 0.0), (5.0, 5.0), (0.0, 0.0)]
     ids = lambda df: {r["id"] for r in df.collect()}
