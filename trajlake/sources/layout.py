@@ -49,8 +49,12 @@ class Layout:
 
     @cached_property
     def tracks(self) -> DataFrame:
-        """Tracklets in a directory for each cell; the cell is a partition column and prunes directories."""
-        return self._read("cells").withColumn("cell", F.col("cell").cast("long"))
+        """Tracklets in a directory for each cell; the cell is a partition column and prunes directories.
+
+        The schema is given, not inferred: an empty data set has no file to infer it from.
+        """
+        schema = T.tracklets(self.whole, self.grid).schema
+        return self.spark.read.schema(schema).parquet(f"{self.path}/cells").withColumn("cell", F.col("cell").cast("long"))
 
     @cached_property
     def flat(self) -> DataFrame:
