@@ -295,6 +295,23 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit(["a"], [0]).severity(np.array([0.0]))[0, 0] < 0.01 and toxicity.fit(["a"], [1]).severity(np.array([0.0]))[0, 0] > 0.99
 
 
+def test_length_does_not_hide_toxic_text(spark):
+    r = random.Random(9)
+    calm, insults = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"], ["vile", "rotten", "nasty"]
+    make = lambda n: " ".join(r.choices(calm, k=n))
+    clean = [make(r.randint(5, 400)) for _ in range(300)]
+    toxic = [" ".join(r.choices(calm * 4 + insults, k=r.randint(20, 200))) for _ in range(80)]
+    model = toxicity.fit([*clean, *toxic], [0] * 300 + [1] * 80)
+    passage = " ".join(r.choices(calm + insults, k=60))
+    rude = [" ".join(r.choices(calm * 30 + insults, k=n)) for n in (2000, 20000, 60000)]
+    rude += [make(before) + " " + passage + " " + make(after) for before, after in ((9000, 9000), (0, 20000), (20017, 0), (60001, 5))]
+    rows = [(i, t, i < len(rude)) for i, t in enumerate([*rude, *map(make, (2000, 20000, 60000))])]
+    own = spark.createDataFrame(rows, "doc_id long, text string, want boolean")
+    assert {r["doc_id"]: r["toxic"] for r in toxicity.score(own, model).collect()} == {i: want for i, _, want in rows}
+    assert {r["doc_id"] for r in toxicity.keep_clean(own, model).collect()} == {i for i, _, want in rows if not want}
+    assert toxicity.windows_of(0) == [(0, 0)] and toxicity.windows_of(64) == [(0, 64)] and toxicity.windows_of(130) == [(0, 64), (32, 96), (64, 128), (96, 130)]
+
+
 def test_quality(spark, docs, empty):
     docs1, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit_on(docs1, labels)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,9 +43,14 @@ def features_of(word: bytes) -> list[bytes]:
     return [word, *(word[:k] + b"*" for k in PREFIXES if len(word) > k)]
 
 
-def damping(n_words: int) -> float:
-    """Counts of distinct words are divided by this, so that long clean texts do not gather weight by their length."""
-    return (max(n_words, 64) / 64) ** 0.5
+#: A text is judged by its worst run of so many words; runs begin at every half of that, so that none is cut at a border only.
+WINDOW = 64
+
+
+def windows_of(n_words: int) -> list[tuple[int, int]]:
+    """Beginnings and ends of the overlapping runs that cover a text; one run, perhaps empty, for a short text."""
+    half = WINDOW // 2
+    return [(at, min(at + WINDOW, n_words)) for at in range(0, max(1, n_words - half), half)]
 
 
 @dataclass
@@ -66,58 +72,103 @@ class Ordinal:
         return total
 
     def margin(self, text: str) -> float:
+        """The largest over the text's windows of the sum of weight times square root of occurrences of the window's words."""
         words = words_of(text)
-        get, total = self._words.get, 0.0
-        for word in sorted(set(words)):
+        get, at, heavy = self._words.get, [], []
+        for i, word in enumerate(words):
             got = get(word)
-            total += self._weigh(word) if got is None else got
-        return total / damping(len(words))
+            if got is None:
+                got = self._weigh(word)
+            if got:
+                at.append(i)
+                heavy.append((word, got))
+        best = -np.inf
+        for lo, hi in windows_of(len(words)):
+            found = Counter(heavy[bisect_left(at, lo) : bisect_left(at, hi)])
+            best = max(best, sum(v * c**0.5 for (_, v), c in sorted(found.items())))
+        return float(best)
 
     def severity(self, margins: np.ndarray) -> np.ndarray:
         """P(grade > k) for each cut, as columns; their sum is the expected grade."""
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.cuts[None, :], -50, 50)))
 
 
-def grades(texts: list[list[bytes]], toxic: np.ndarray) -> np.ndarray:
-    """Ordered grades from 0/1 labels: a toxic text is 2 rather than 1 if the share of telling words is above the median.
-
-    Telling words are those at least eight times as frequent, by documents, in toxic as in clean labelled texts.
-    """
+def telling_words(texts: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
+    """Words at least eight times as frequent, by documents, in toxic as in clean labelled texts."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     bad, good = Counter(), Counter()
     for words, t in zip(texts, toxic, strict=True):
         (bad if t else good).update(set(words))
-    telling = {w for w, c in bad.items() if c >= 5 and c / n1 >= 8 * (good[w] + 1) / n0}
-    share = np.array([sum(w in telling for w in words) / max(1, len(words)) if t else 0.0 for words, t in zip(texts, toxic, strict=True)])
-    middle = np.median(share[toxic == 1]) if toxic.any() else 0.0
-    return np.where(toxic == 0, 0, np.where(share > middle, 2, 1))
+    return {w for w, c in bad.items() if c >= 5 and c / n1 >= 8 * (good[w] + 1) / n0}
+
+
+def grades(texts: list[list[bytes]], toxic: np.ndarray, telling: set[bytes]) -> np.ndarray:
+    """Ordered grades from 0/1 labels: a toxic text is 2 rather than 1 if its largest share of telling words in a window is above the median."""
+
+    def share(words: list[bytes]) -> float:
+        return max(sum(w in telling for w in words[lo:hi]) / max(1, hi - lo) for lo, hi in windows_of(len(words)))
+
+    shares = np.array([share(words) if t else 0.0 for words, t in zip(texts, toxic, strict=True)])
+    middle = np.median(shares[toxic == 1]) if toxic.any() else 0.0
+    return np.where(toxic == 0, 0, np.where(shares > middle, 2, 1))
 
 
 def fit(texts: list[str], toxic: list[int], l1: float = 5e-4, steps: int = 300, rate: float = 0.05) -> Ordinal:
     """Adam with an L1 shrinkage on the cumulative-link likelihood; deterministic.
 
-    The likelihood of a grade is the difference of its neighbouring cuts' probabilities.
+    The likelihood of a grade is the difference of its neighbouring cuts' probabilities. A text counts by its worst window, chosen anew
+    every ten steps by the weights then held, and at first by the number of telling words.
     """
     toxic = np.asarray(toxic, np.int64)
     if not toxic.any() or toxic.all():
         return Ordinal({}, np.array([30.0, 31.0]) if not toxic.any() else np.array([-30.0, 30.0]))
     words = [words_of(t) for t in texts]
-    grade = grades(words, toxic)
-    distinct = [sorted(set(own)) for own in words]
+    telling = telling_words(words, toxic)
+    grade = grades(words, toxic, telling)
     seen: Counter = Counter()
-    for own in distinct:
-        seen.update({f for w in own for f in features_of(w)})
+    for own in words:
+        seen.update({f for w in set(own) for f in features_of(w)})
     common = sorted(((f, c) for f, c in seen.items() if c >= 5), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES]
     vocabulary = {f: i for i, (f, _) in enumerate(common)}
     del seen
-    counts = [Counter(vocabulary[f] for w in own for f in features_of(w) if f in vocabulary) for own in distinct]
-    rows = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    cols = np.fromiter((f for c in counts for f in c), np.int64, len(rows))
-    values = np.fromiter((v / damping(len(own)) for c, own in zip(counts, words, strict=True) for v in c.values()), float, len(rows))
+    number: dict[bytes, int] = {}
+    feats: list[list[int]] = []
+    pairs, roots, sizes, n_windows = [], [], [], []
+    for own in words:
+        for word in own:
+            if word not in number:
+                number[word] = len(number)
+                feats.append([vocabulary[f] for f in features_of(word) if f in vocabulary])
+        ids = np.array([number[word] for word in own], np.int32)
+        held = [np.unique(ids[lo:hi], return_counts=True) for lo, hi in windows_of(len(own))]
+        pairs += [x for x, _ in held]
+        roots += [c**0.5 for _, c in held]
+        sizes += [len(x) for x, _ in held]
+        n_windows.append(len(held))
+    # window k of the texts holds the words pairs[k], roots[k]**2 times each; word j has the features of_word[ends[j] - per_word[j] : ends[j]]
+    per_word = np.array([len(x) for x in feats], np.int64)
+    ends = np.cumsum(per_word)
+    of_word = np.fromiter((f for x in feats for f in x), np.int64, int(per_word.sum()))
+    spots = np.repeat(np.arange(len(sizes)), sizes)
+    flat, times = np.concatenate(pairs), np.concatenate(roots)
+    first = np.concatenate([[0], np.cumsum(n_windows)[:-1]])
     n, m = len(words), len(vocabulary)
+
+    def worst(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, features and values of each text's window of the largest margin, the earliest of equal ones."""
+        weight = np.bincount(np.repeat(np.arange(len(per_word)), per_word), w[of_word], minlength=len(per_word))
+        margins = np.bincount(spots, weight[flat] * times, minlength=len(sizes))
+        chosen = [a + int(np.argmax(margins[a : a + k])) for a, k in zip(first, n_windows, strict=True)]
+        rows = np.repeat(np.arange(n), [per_word[pairs[k]].sum() for k in chosen])
+        cols = [of_word[ends[j] - per_word[j] : ends[j]] for k in chosen for j in pairs[k]]
+        values = [np.repeat(roots[k], per_word[pairs[k]]) for k in chosen]
+        return rows, np.concatenate([np.zeros(0, np.int64), *cols]), np.concatenate(values)
+
     w, cuts = np.zeros(m), np.array([2.0, 3.0])
     g1, g2, c1, c2 = np.zeros(m), np.zeros(m), np.zeros(2), np.zeros(2)
     for step in range(1, steps + 1):
+        if step % 10 == 1:
+            rows, cols, values = worst(w if step > 1 else np.array([float(f in telling) for f in vocabulary]))
         x = np.bincount(rows, w[cols] * values, minlength=n)
         p = 1 / (1 + np.exp(-np.clip(x[:, None] - cuts[None, :], -30, 30)))
         above = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
