@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trajlake import catalog
 from trajlake.operators import batch, knn, quadtree, range_query, segments, tools
 from trajlake.operators import trajectories as T
+from trajlake.plans import oracle
 from trajlake.sources import layout as L
 from trajlake.sources import points as P
 
@@ -91,6 +92,18 @@ def test_batch_equals_single_queries(loops):
     assert got == want and len(got) > 3
 
 
+def test_batch_has_every_query_divisible_by_100(spark):
+    own = catalog.layout(spark, SF)
+    got = {(r["qid"], r["id"]) for r in catalog.QUERIES["batch_range"](spark, SF).collect()}
+    queries = own.whole.where("id % 100 = 0").collect()
+    one = lambda q: range_query.brute_force(own.whole, [(p["x"], p["y"]) for p in q["pts"]], catalog.BATCH_EPS)
+    assert got == {(q["id"], r["id"]) for q in queries for r in one(q).collect()}
+    assert {q for q, _ in got} == {q["id"] for q in queries} and len(queries) > 10
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    assert {x for x in got if x[0] % 500 == 0} == set(con.execute(oracle.batch_sql(catalog.BATCH_EPS, 500)).fetchall())
+
+
 def test_text_files_round_trip(spark, loops, tmp_path):
     T.as_query_lines(loops.whole).write.text(f"{tmp_path}/queries")
     back = sorted([(p["x"], p["y"]) for p in r["pts"]] for r in P.read_queries(spark, f"{tmp_path}/queries").collect())

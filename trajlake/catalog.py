@@ -17,7 +17,8 @@ from .plans import oracle
 from .sources.layout import Layout, new_folder, present_cells, write_flat, write_trajectories
 from .sources.points import fixture_points
 
-BITS, EPS, K, BATCH_EPS, BATCH_STEP = 4, 20.25, 5, 8.25, 500
+#: The batch search has every trajectory whose id is divisible by BATCH_STEP as a query, against all trajectories.
+BITS, EPS, K, BATCH_EPS, BATCH_STEP = 4, 20.25, 5, 8.25, 100
 MEDIUM_EPS = 200.37
 RECT, SEG = (3.0, 2.0, 20.0, 7.0), ((5.0, 1.0), (40.0, 9.0))
 
