@@ -111,24 +111,89 @@ def test_remove_repeats(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_long_documents_are_cut_without_losing_windows(docs, rows, monkeypatch):
+def repeats(rows):
+    """Kept bytes, removed bytes and spans of (id, text) in the order given, by every window of 100 bytes."""
+    seen, out = set(), []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        out.append((i, len(b), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    return out
+
+
+def removed(df):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("setting", [{"STRETCH": 700, "SEGMENT": 500}, {"HOT": 3, "HOT_SAMPLE": 1, "SEGMENT": 2000}, {"WINDOWS": 50, "BATCH": 4, "MARKS": 10}])
+def test_repeats_whatever_the_sizes_of_segments_batches_and_hot_pieces(spark, setting, monkeypatch):
     r = random.Random(1)
-    data = bytes(r.choices(range(97, 123), k=3000))
-    data = data + data[500:1700] + data[:90]
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([data])], ["_key", "_data"])
-    blocks = [b for x in suffix_dedup._anchor_blocks(1)(iter([batch])) for b in x.to_pandas().itertuples(index=False)]
-    import pandas as pd
-
-    marks = suffix_dedup._judge_anchors(pd.DataFrame(blocks))
-    found = set()
-    for m in marks[~marks["open"]].itertuples():
-        found |= set(range(m.lo, m.hi + 1))
-    truth = {s for s in range(len(data) - 99) if data.find(data[s : s + 100]) < s}
-    opened = {s for m in marks[marks["open"]].itertuples() for s in range(m.lo, m.hi + 1)}
-    assert found <= truth <= found | opened
+    line = "a line that stands in nearly every text, and then some more of it to pass a hundred bytes at all events; "
+    word = lambda: "".join(r.choices("abcdef", k=r.randint(1, 9)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    long = make(300)
+    rows = [(i, make(r.randint(0, 40)) + line[: r.choice([40, 70, 99, 105])] + make(r.randint(0, 40))) for i in range(60)]
+    rows += [(100, long + long[200:900] + long[:90]), (101, make(4) + long[100:700] + make(9)), (102, "ab" * 400), (103, "\0" * 250 + "x" + "\0" * 250), (104, long)]
+    for k, v in setting.items():
+        monkeypatch.setattr(suffix_dedup, k, v)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert removed(suffix_dedup.remove_repeats(docs, keep_text=True)) == sorted(repeats(rows), key=str)
+    ends = np.cumsum([len(t.encode()) for _, t in rows])
+    text = "".join(t for _, t in rows).encode()
+    hot = np.sort(np.unique(suffix_dedup.piece_hashes(np.frombuffer(line.encode(), np.uint8))))
+    covered = set()
+    for a, _, _, lo, hi, _ in suffix_dedup._stretches(text, ends, hot):
+        covered |= {a + s for x, y in zip(lo.tolist(), hi.tolist(), strict=True) for s in range(x, y + 1)}
+    assert covered == {s for e, (_, t) in zip(ends.tolist(), rows, strict=True) for s in range(e - len(t.encode()), e - 99)}
+
+
+def test_repeats_of_rows_with_one_id_and_of_null_ids(spark):
+    r = random.Random(3)
+    make = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    one, two, three = make(280), make(288), make(400)
+    rows = [(7, one + one), (7, two + two + two), (9, three), (None, three + one), (None, make(500)), (11, None), (12, two), (12, two)]
+    got = removed(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True))
+    want = [*repeats([(7, one + one), (7, two + two + two), (9, three), (12, two), (12, two), (11, None), (None, three + one)]), *repeats([(None, rows[4][1])])]
+    assert got == sorted(want, key=str)
+
+
+def test_a_stored_family_is_an_index_for_later_documents(spark, tmp_path):
+    r = random.Random(5)
+    make = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    first = [(i, make(r.randint(0, 900))) for i in range(20)]
+    first.append((20, first[3][1] + first[4][1]))
+    second = [(1, make(150) + first[5][1][50:400] + make(20)), (2, first[6][1]), (3, make(300)), (4, make(10) + first[20][1][:500])]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    store = f"file://{tmp_path}/family"
+    assert removed(suffix_dedup.remove_repeats(frame(first), keep_text=True, store=store)) == sorted(repeats(first), key=str)
+    assert removed(suffix_dedup.remove_repeats(frame(second), keep_text=True, index=store)) == sorted(repeats([*first, *second])[len(first) :], key=str)
+
+
+def test_suffix_family_keeps_the_earliest_in_text_order():
+    r = np.random.default_rng(4)
+    family, everything, gone = suffix_dedup.SuffixFamily(), [], []
+    for b in range(9):
+        n = 200 >> (b % 3)
+        text = np.zeros((n, suffix_dedup.STORED), np.uint8)
+        text[:, :100] = r.integers(97, 99, (n, 1)) + (np.arange(100)[None] > r.integers(0, 90, (n, 1)))
+        new = suffix_dedup.Suffixes(text.reshape(-1).view(f"S{suffix_dedup.STORED}"), r.integers(0, 50, n), np.zeros(n, np.int64), np.arange(n) + 1000 * b, r.integers(0, 9, n), np.zeros(n, np.uint8))
+        everything.append(new)
+        gone.append(family.add(new))
+        assert all((x.text[:-1] < x.text[1:]).all() for x in family.levels) and all(len(a) > 2 * len(b) for a, b in zip(family.levels, family.levels[1:], strict=False))
+    whole, all_ = family.whole(), suffix_dedup.Suffixes.concat(everything)
+    place = lambda s: list(zip(s.text.tolist(), s.id.tolist(), s.tie.tolist(), s.ref.tolist(), s.pos.tolist(), strict=True))
+    first = {}
+    for t, i, _, ref, pos in place(all_):
+        first[t] = min(first.get(t, (i, ref, pos)), (i, ref, pos))
+    assert {t: (i, ref, pos) for t, i, _, ref, pos in place(whole)} == first
+    assert sorted(place(whole) + place(suffix_dedup.Suffixes.concat(gone))) == sorted(place(all_))
+    own = whole.bytes()[:, :100].astype(int)
+    same = (own[:, None] == own[None]).cumprod(2).sum(2) * (1 - np.eye(len(own), dtype=int))
+    assert (whole.like == same.max(1)).all()
 
 
 def test_media(docs, rows, empty):

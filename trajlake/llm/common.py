@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,13 +19,18 @@ _own_folder: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session within one process may leave it
+    unset, as in tests; it gets a folder of its own. On a cluster that is an error, since no local folder would be shared."""
     global _own_folder
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="trajlake-")
+        folder = tempfile.mkdtemp(prefix="trajlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder = "file://" + folder
     return _own_folder
 
 
@@ -34,8 +41,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    try:
+        df.write.parquet(path)
+    except Exception:
+        remove(spark, path)
+        raise
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -44,6 +57,22 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written`, which nothing that is still to run may read."""
+    for df in tables:
+        remove(df.sparkSession, df.written_path)
+
+
+def unused_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them as long as a column is called so."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
