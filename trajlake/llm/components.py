@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -21,7 +21,9 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
         out = links.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("x"), F.col("m").alias("y"))
         out = out.unionByName(least.select(F.col("u").alias("x"), F.col("m").alias("y")))
     out = out.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    return written(out, "cc-links")
+    out = written(out, "cc-links")
+    release(least)
+    return out
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -35,6 +37,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     now, last = nodes, None
     while (mark := state(now)) != last and mark[0]:
         last = mark
-        now = _stars(_stars(now, True), False)
+        large = _stars(now, True)
+        release(now)
+        now = _stars(large, False)
+        release(large)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

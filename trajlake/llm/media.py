@@ -9,8 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_or_empty
 
@@ -20,32 +21,39 @@ NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 WIDTH = 64
 IDAT_BYTES = 1 << 20
+#: Largest image, in samples, that is decoded; more is refused before memory is taken for it.
+MOST_SAMPLES = 1 << 31
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
-def filtered(image: np.ndarray, kind: int) -> np.ndarray:
-    """The residuals of a grey image under the row filter NONE, SUB or UP."""
-    if kind == NONE:
-        return image
-    out = image.copy()
-    if kind == SUB:
-        out[:, 1:] -= image[:, :-1]
-    else:
-        out[1:] -= image[:-1]
-    return out
+def filtered(image: np.ndarray, kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the filter of ``kinds`` (of NONE, SUB and UP) whose residuals have the smallest sum, the first of equal
+    ones, and the residuals. Rows are judged in bounded stretches."""
+    chosen, out = np.full(len(image), kinds[0], np.uint8), np.empty_like(image)
+    for a in range(0, len(image), 1 << 14):
+        rows, above = image[a : a + (1 << 14)], np.zeros_like(image[a : a + (1 << 14)])
+        above[1:] = rows[:-1]
+        if a:
+            above[0] = image[a - 1]
+        least = None
+        for kind in kinds:
+            left = rows if kind == NONE else rows - above if kind == UP else np.concatenate([rows[:, :1], rows[:, 1:] - rows[:, :-1]], 1)
+            cost = np.minimum(left, -left).sum(1, dtype=np.int64)  # the absolute value of a byte taken as signed
+            better = np.ones(len(rows), bool) if least is None else cost < least
+            least = cost if least is None else np.minimum(cost, least)
+            out[a : a + len(rows)][better] = left[better]
+            chosen[a : a + len(rows)][better] = kind
+    return chosen, out
 
 
 def encode_png(image: np.ndarray, level: int = 1, kinds: tuple[int, ...] = (NONE, SUB, UP)) -> bytes:
-    """A grey 8-bit PNG of ``image`` with the filter of ``kinds`` whose residuals have the smallest sum on the first rows."""
+    """A grey 8-bit PNG of ``image``, each row under the filter of ``kinds`` that suits it best."""
     height, width = image.shape
-    probe = image[:64]
-    kind = min(kinds, key=lambda k: int(np.abs(filtered(probe, k).view(np.int8).astype(np.int16)).sum())) if len(kinds) > 1 else kinds[0]
     rows = np.empty((height, width + 1), np.uint8)
-    rows[:, 0] = kind
-    rows[:, 1:] = filtered(image, kind)
+    rows[:, 0], rows[:, 1:] = filtered(image, kinds)
     data = zlib.compress(rows, level)
     parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))]
     parts += [_chunk(b"IDAT", data[i : i + IDAT_BYTES]) for i in range(0, len(data), IDAT_BYTES)]
@@ -53,12 +61,17 @@ def encode_png(image: np.ndarray, level: int = 1, kinds: tuple[int, ...] = (NONE
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """The samples of a grey 8-bit PNG; ValueError if the signature, a checksum, the order of chunks or a size is wrong."""
+    """The samples of a grey 8-bit PNG.
+
+    ValueError if the signature or a checksum is wrong, IHDR is not the first chunk or not of 13 bytes, IDAT chunks do not
+    follow each other, IEND is missing or followed by something, a chunk that may not be skipped is unknown, or the samples
+    are fewer or more than the header says (no more than that is ever decompressed).
+    """
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
-    at, header, body, ended = 8, None, [], False
+    at, header, body, kinds = 8, None, [], []
     view = memoryview(data)
-    while at < len(data) and not ended:
+    while at < len(data) and kinds[-1:] != [b"IEND"]:
         if at + 12 > len(data):
             raise ValueError("a chunk is cut off")
         (n,) = struct.unpack_from(">I", data, at)
@@ -67,60 +80,69 @@ def decode_png(data: bytes) -> np.ndarray:
             raise ValueError("a chunk is cut off")
         if struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(content, zlib.crc32(kind)):
             raise ValueError(f"wrong checksum in {kind!r}")
+        if (kind == b"IHDR") != (not kinds) or kind == b"IHDR" and n != 13:
+            raise ValueError("IHDR has to be the first chunk, once, with 13 bytes")
         if kind == b"IHDR":
             header = struct.unpack(">IIBBBBB", content)
         elif kind == b"IDAT":
+            if body and kinds[-1] != b"IDAT":
+                raise ValueError("IDAT chunks are parted")
             body.append(bytes(content))
-        ended = kind == b"IEND"
+        elif kind != b"IEND" and not kind[0] & 32:
+            raise ValueError(f"unknown chunk {kind!r}")
+        kinds.append(kind)
         at += 12 + n
-    if header is None or not ended:
-        raise ValueError("IHDR or IEND is missing")
+    if header is None or kinds[-1] != b"IEND" or at != len(data):
+        raise ValueError("IHDR or IEND is missing, or IEND is not the end")
     width, height, *kind = header
     if kind != [8, 0, 0, 0, 0]:
         raise ValueError("only grey 8-bit images without interlace")
+    size = height * (width + 1)
+    if width == 0 or height == 0 or size > MOST_SAMPLES:
+        raise ValueError("an image without or with too many samples")
     try:
-        raw = zlib.decompress(b"".join(body))
+        unpack = zlib.decompressobj()
+        raw = unpack.decompress(b"".join(body), size + 1)
     except zlib.error as e:
         raise ValueError(f"broken image data: {e}") from e
-    if len(raw) != height * (width + 1):
+    if len(raw) != size or not unpack.eof:
         raise ValueError("wrong number of samples")
     rows = np.frombuffer(raw, np.uint8).reshape(height, width + 1)
     return unfilter(rows[:, 0], rows[:, 1:])
 
 
 def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Undo the row filters; runs of rows with one filter are done at once (NONE, SUB, UP) or row by row (AVERAGE, PAETH)."""
-    out = np.empty_like(rows)
-    if not len(rows):
+    """Undo the row filters in numpy.
+
+    Without AVERAGE and PAETH, SUB is a running sum along the rows and UP one down the rows from the last row that is not UP.
+    Otherwise the image is undone by diagonals: the samples of a diagonal depend on the two diagonals before it only.
+    """
+    if len(kinds) and kinds.max() > PAETH:
+        raise ValueError(f"filter {kinds.max()} does not exist")
+    if not rows.size:
+        return rows.copy()
+    if not (kinds >= AVERAGE).any():
+        out = rows.copy()
+        sub = kinds == SUB
+        out[sub] = np.cumsum(out[sub], axis=1, dtype=np.uint8)
+        up = kinds == UP
+        if up.any():
+            start = np.maximum.accumulate(np.where(up, 0, np.arange(len(rows))))
+            sums = np.zeros((len(rows) + 1, rows.shape[1]), np.uint8)
+            np.cumsum(out, axis=0, dtype=np.uint8, out=sums[1:])
+            out[up] = sums[1:][up] - sums[start[up]]
         return out
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(kinds)) + 1, [len(kinds)]])
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        kind, above = int(kinds[a]), out[a - 1] if a else np.zeros(rows.shape[1], np.uint8)
-        if kind == NONE:
-            out[a:b] = rows[a:b]
-        elif kind == SUB:
-            np.cumsum(rows[a:b], axis=1, dtype=np.uint8, out=out[a:b])
-        elif kind == UP:
-            np.cumsum(rows[a:b], axis=0, dtype=np.uint8, out=out[a:b])
-            out[a:b] += above
-        elif kind in (AVERAGE, PAETH):
-            for y in range(a, b):
-                _unfilter_row(kind, rows[y], out[y - 1] if y else above, out[y])
-        else:
-            raise ValueError(f"filter {kind} does not exist")
-    return out
-
-
-def _unfilter_row(kind: int, row: np.ndarray, above: np.ndarray, out: np.ndarray) -> None:
-    left = corner = 0
-    for x, (value, up) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
-        if kind == AVERAGE:
-            guess = (left + up) // 2
-        else:
-            p = left + up - corner
-            guess = min(((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner)))[2]
-        left, corner = (value + guess) & 255, up
-        out[x] = left
+    height, width = rows.shape
+    out = np.zeros((height + 1, width + 1), np.int16)  # a row and a column of zeros before the image
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner, kind = out[y + 1, x], out[y, x + 1], out[y, x], kinds[y]
+        p = left + up - corner
+        to_left, to_up, to_corner = abs(p - left), abs(p - up), abs(p - corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[y + 1, x + 1] = (rows[y, x] + np.choose(kind, [0 * left, left, up, (left + up) // 2, paeth])) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 _k = np.arange(8)[:, None]
@@ -152,31 +174,34 @@ def to_image(payload: bytes, width: int = WIDTH) -> np.ndarray:
 
 
 def encode_media(df: DataFrame, data_col: str, media_col: str, level: int = 1) -> DataFrame:
-    """``df`` (id first) with the binary column ``data_col`` stored as PNG in ``media_col``; null data counts as empty."""
-    names = df.columns
-    at = names.index(data_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != data_col)
+    """``df`` with the binary column ``data_col`` stored as PNG in ``media_col``; null data counts as empty. A column that is
+    called ``media_col`` already is replaced."""
+    names = [n for n in df.columns if n not in (data_col, media_col)]
+    schema = T.StructType([*(df.schema[n] for n in names), T.StructField(media_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column(at)
-            kept = [c for i, c in enumerate(batch.columns) if i != at]
-            made = pa.array([encode_png(to_image(x.as_py() or b""), level) for x in data], pa.binary())
-            yield pa.RecordBatch.from_arrays([*kept, made], [n for i, n in enumerate(names) if i != at] + [media_col])
+            made = pa.array([encode_png(to_image(x.as_py() or b""), level) for x in batch.column(len(names))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], made], [*names, media_col])
+
+    return df.select(*_quoted(names), F.col(f"`{data_col}`")).mapInArrow(run, schema)
+
 
-    return df.mapInArrow(run, f"{schema}, `{media_col}` binary")
+def _quoted(names: list[str]) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
 
 
 def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
     """For each row of a binary PNG column: what is read back from the stored bytes, and its cosine-transform hash.
 
-    Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A null or broken medium gives
-    null in all but the media columns; other rows are not affected.
+    Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature in place of ``media_col``; columns that
+    are called so already are replaced. A null or broken medium gives null in all but the media columns; other rows are not
+    affected, and repeated rows each have their own result.
     """
-    names = df.columns
-    at = names.index(media_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != media_col)
-    made = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    made = [("payload_bytes", pa.int64(), T.LongType()), ("payload_sha256", pa.string(), T.StringType()), ("tail_crc32", pa.int64(), T.LongType()), ("media_bytes", pa.int64(), T.LongType()), ("media_sha256", pa.string(), T.StringType()), ("feature", pa.string(), T.StringType())]
+    new = [n for n, *_ in made]
+    names = [n for n in df.columns if n != media_col and n.lower() not in new]
+    schema = T.StructType([*(df.schema[n] for n in names), *(T.StructField(n, kind) for n, _, kind in made)])
 
     def one(media: bytes | None) -> tuple:
         if media is None:
@@ -191,12 +216,11 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [c for i, c in enumerate(batch.columns) if i != at]
-            got = list(zip(*(one(x.as_py()) for x in batch.column(at)), strict=True)) or [()] * 6
-            arrays = [pa.array(x, kind) for x, (_, kind) in zip(got, made, strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], [n for i, n in enumerate(names) if i != at] + [n for n, _ in made])
+            got = list(zip(*(one(x.as_py()) for x in batch.column(len(names))), strict=True)) or [()] * 6
+            arrays = [pa.array(x, kind) for x, (_, kind, _) in zip(got, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *arrays], [*names, *new])
 
-    return df.mapInArrow(run, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select(*_quoted(names), F.col(f"`{media_col}`")).mapInArrow(run, schema)
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:

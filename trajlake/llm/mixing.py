@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_or_empty, written
+from .common import release, text_or_empty, unused_names, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -82,10 +82,13 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
 
     A target stops at ``most`` times its source's size; what it leaves is shared again by weight until none is above.
     """
-    spark = sources.sparkSession
-    schema = T.StructType([*sources.schema.fields, T.StructField("_rank", T.LongType())])
-    ordered = sources.orderBy("_null", "_src").rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    ranked = written(spark.createDataFrame(ordered, schema), "mix-sources")
+    placed = written(sources.repartitionByRange("_null", "_src").withColumn("_p", F.spark_partition_id()), "mix-sources")
+    before = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = before.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy("_null", "_src")) - 1
+    ranked = placed.withColumn("_own", own).join(before, F.col("_p") == F.col("_q")).withColumn("_rank", F.col("_own") + F.col("_offset")).drop("_p", "_q", "_own", "_offset")
+    ranked = written(ranked, "mix-ranked")
+    release(placed)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int")).cast("double")
     ranked = ranked.withColumn("_w", weight).withColumn("_cap", F.col("_source_size") * F.lit(float(most)))
     total, level, capped = None, None, -1
@@ -104,6 +107,11 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
     return ranked.withColumn("_target", F.least(F.col("_cap"), F.col("_w") * F.lit(float(level or 0.0)))).drop("_rank", "_w", "_cap")
 
 
+def row_hash(id_col: str, text_col: str, source_col: str, seed: int) -> Column:
+    """Rows are told apart by this hash and their id."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col).cast("string"), text_or_empty(text_col))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -113,6 +121,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 7,
+    keys: bool = False,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target (its source's), taken (words, repeats counted).
 
@@ -124,7 +133,10 @@ def mix(
     how many each one gives, and only documents of one range are ever ranked together.
 
     Null text has size 0 and adds nothing; a null source is a source of its own, last in the order. Rows that repeat an
-    id and text are documents of their own, each taken at most twice. An empty table gives no rows.
+    id, or have none, are documents of their own, each taken at most twice; which of rows that are equal in id, source and text
+    is taken makes no difference. Other columns are not looked at. An empty table gives no rows.
+
+    With ``keys`` the rows are (_hash, _id, times), for use by :func:`repeat`.
     """
     light = written(
         docs.select(
@@ -132,7 +144,8 @@ def mix(
             F.col(source_col).isNull().alias("_null"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"),
             F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("_size"),
-        ).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_src"))),
+            row_hash(id_col, text_col, source_col, seed).alias("_hash"),
+        ),
         "mix-light",
     )
     hist = written(light.groupBy("_null", "_src", "_size").agg(F.count(F.lit(1)).alias("_n")), "mix-hist")
@@ -164,6 +177,8 @@ def mix(
     rank = F.row_number().over(Window.partitionBy("_null", "_src", "_size", "_range").orderBy("_hash", "_id"))
     picked = light.join(plan, ["_null", "_src", "_size", "_range"]).withColumn("_rank", rank)
     times = F.col("_base") + (F.col("_rank") <= F.col("_quota")).cast("long")
+    if keys:
+        return picked.select("_hash", "_id", times.alias("times"))
     return picked.select(
         F.col("_id").alias(id_col),
         F.when(~F.col("_null"), F.col("_src")).alias(source_col),
@@ -175,8 +190,22 @@ def mix(
     )
 
 
-def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with each row as often as :func:`mix` takes it (0, 1 or 2 times); columns unchanged. Ids are taken as unique."""
-    times = mix(docs, id_col, text_col, source_col, **options).where("times > 0").select(F.col(id_col).alias("_taken_id"), F.col("times").cast("int").alias("_times"))
-    taken = docs.join(times, F.col(id_col).eqNullSafe(F.col("_taken_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix` takes it (0, 1 or 2 times); columns unchanged.
+
+    Rows that are equal in id, source and text are numbered, and what the mix takes of them is dealt out to them evenly. Null
+    ids, sources and texts are treated as in :func:`mix`. Columns may have any names. An empty table gives no rows.
+    """
+    hash_, id_, total, rows, number, copy = unused_names(docs.columns, "_taken_hash", "_taken_id", "_taken", "_rows", "_number", "_copy")
+    taken = mix(docs, id_col, text_col, source_col, seed=seed, keys=True, **options).groupBy("_hash", "_id").agg(F.sum("times").cast("int").alias(total), F.count(F.lit(1)).alias(rows))
+    taken = written(taken.where(F.col(total) > 0).withColumnsRenamed({"_hash": hash_, "_id": id_}), "mix-taken")
+    own = row_hash(id_col, text_col, source_col, seed)
+    same = (own == F.col(hash_)) & F.col(id_col).eqNullSafe(F.col(id_))
+    again = lambda df, times: df.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = again(docs.join(taken.where(F.col(rows) == 1), same), F.col(total))
+    several = taken.where(F.col(rows) > 1)
+    if several.isEmpty():
+        return once
+    numbered = docs.join(several, same).withColumn(number, F.row_number().over(Window.partitionBy(hash_, id_).orderBy(hash_)))
+    times = F.floor(F.col(total) / F.col(rows)).cast("int") + (F.col(number) <= F.col(total) % F.col(rows)).cast("int")
+    return once.unionByName(again(numbered.withColumn(total, times).where(F.col(total) > 0), F.col(total)))

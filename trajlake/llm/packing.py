@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 WINDOW = 2048
-OPEN_WINDOWS = 32
+OPEN_WINDOWS = 64
 END_ID = 1
 #: Partitions whose leftover windows are merged together.
 MERGE_FAN_IN = 64
@@ -79,45 +80,64 @@ class BpeIds:
         return np.frombuffer(b"".join(out), "<u4")
 
 
+def filled(pieces: Iterable[tuple], window: int) -> Iterator[list]:
+    """The pieces (tag, start, ids) one after the other in full windows, cut at their borders; only the last may have room."""
+    room, own = window, []
+    for tag, start, ids in pieces:
+        while len(ids):
+            own.append((tag, start, ids[:room]))
+            ids, start, room = ids[room:], start + room, room - min(room, len(ids))
+            if room == 0:
+                yield own
+                room, own = window, []
+    if own:
+        yield own
+
+
 class Packer:
-    """Open windows of pieces; emits closed windows as lists of (tag, start, ids)."""
+    """A fixed number of open windows of pieces; gives closed windows as lists of (tag, start, ids)."""
 
     def __init__(self, window: int = WINDOW, open_windows: int = OPEN_WINDOWS):
-        self.window, self.most, self.open = window, open_windows, []
-
-    def add(self, tag, ids: np.ndarray, start: int = 0) -> Iterator[list]:
-        """Place ``ids`` best-fit. If no window has room, top up the fullest one, emit it and go on with the rest."""
-        while len(ids):
-            if len(ids) >= self.window:
-                yield [(tag, start, ids[: self.window])]
-                ids, start = ids[self.window :], start + self.window
-                continue
-            fits = [i for i, w in enumerate(self.open) if w[0] >= len(ids)]
-            if fits:
-                i = min(fits, key=lambda i: self.open[i][0])
-                w = self.open[i]
-                w[0] -= len(ids)
-                w[1].append((tag, start, ids))
-                if w[0] == 0:
-                    yield self.open.pop(i)[1]
-                return
-            if len(self.open) < self.most:
-                self.open.append([self.window - len(ids), [(tag, start, ids)]])
-                return
-            i = min(range(len(self.open)), key=lambda i: self.open[i][0])
-            room, pieces = self.open.pop(i)
-            pieces.append((tag, start, ids[:room]))
-            ids, start = ids[room:], start + room
+        self.window, self.most = window, open_windows
+        self.rooms: list[int] = []  # ascending; open[i] has rooms[i] left
+        self.open: list[list] = []
+
+    def add(self, tag, ids: np.ndarray) -> Iterator[list]:
+        """Cut full windows from a longer document; place the rest best-fit; if no open window has room, emit the fullest one
+        as it is and open another."""
+        start = 0
+        while len(ids) - start >= self.window:
+            yield [(tag, start, ids[start : start + self.window])]
+            start += self.window
+        n = len(ids) - start
+        if n == 0:
+            return
+        i = bisect_left(self.rooms, n)
+        if i < len(self.rooms):
+            room, pieces = self.rooms.pop(i) - n, self.open.pop(i)
+        else:
+            if len(self.open) >= self.most:
+                self.rooms.pop(0)
+                yield self.open.pop(0)
+            room, pieces = self.window - n, []
+        pieces.append((tag, start, ids[start:]))
+        if room == 0:
             yield pieces
+        else:
+            i = bisect_left(self.rooms, room)
+            self.rooms.insert(i, room)
+            self.open.insert(i, pieces)
 
     def merge(self) -> Iterator[list]:
         """Merge what is open into full windows; at most one window stays open."""
-        rest, self.open = sorted(self.open, key=lambda w: w[0]), []
-        self.most, kept = 1, self.most
-        for _, pieces in rest:
-            for tag, start, ids in pieces:
-                yield from self.add(tag, ids, start)
-        self.most = kept
+        rest = [p for pieces in self.open for p in pieces]
+        self.rooms, self.open = [], []
+        for pieces in filled(rest, self.window):
+            n = sum(len(ids) for *_, ids in pieces)
+            if n == self.window:
+                yield pieces
+            else:
+                self.rooms, self.open = [self.window - n], [pieces]
 
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
@@ -150,10 +170,11 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if ``keep_ids``).
 
-    Each partition keeps ``open_windows`` windows open, places a document best-fit, and when none fits tops up the
-    fullest window with the document's beginning, emits it and goes on. At its end a partition merges its open windows;
-    the one left over is merged with those of ``MERGE_FAN_IN`` neighbouring partitions, so that no task ever gathers the
-    leftovers of all. Only these last windows are padded. Memory is the open windows and one batch of documents.
+    Each partition keeps ``open_windows`` windows open, places a document best-fit, and when none fits emits the fullest
+    window, which is padded, and opens another. Documents of a window's length and more are cut into full windows and a rest. At
+    its end a partition merges its open windows, cutting what stands at a border; the one left over is merged with those of
+    ``MERGE_FAN_IN`` neighbouring partitions, so that no task ever gathers the leftovers of all. Memory is the open windows and
+    one batch of documents.
 
     Null text is empty: one piece holding only the end id. A null id stays null. Rows that repeat an id are packed each
     on their own. An empty table gives no rows.
@@ -180,25 +201,18 @@ def pack(
                 yield _frame(rows)
                 rows = []
         emit(packer.merge())
-        for _, pieces in packer.open:
+        for pieces in packer.open:
             rows.extend(_rows(-1, part, pieces, True))
         if rows:
             yield _frame(rows)
 
     def merge_left(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "offset"])
-        group, packer, made, rows = int(pdf["part"].iloc[0]) // MERGE_FAN_IN, Packer(window, 1), 0, []
-
-        def emit(closed) -> None:
-            nonlocal made
-            for pieces in closed:
-                rows.extend(_rows((1 << 62) + (group << 32) + made, group, pieces, keep_ids))
-                made += 1
-
+        group, rows = int(pdf["part"].iloc[0]) // MERGE_FAN_IN, []
         ids_of = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None)
-        for doc, n, start, raw in zip(ids_of, pdf["doc_tokens"], pdf["start"], pdf["ids"], strict=True):
-            emit(packer.add((None if doc is None else int(doc), int(n)), np.frombuffer(raw, "<u4"), int(start)))
-        emit(p for _, p in packer.open)
+        left = (((None if doc is None else int(doc), int(n)), int(start), np.frombuffer(raw, "<u4")) for doc, n, start, raw in zip(ids_of, pdf["doc_tokens"], pdf["start"], pdf["ids"], strict=True))
+        for made, pieces in enumerate(filled(left, window)):
+            rows.extend(_rows((1 << 62) + (group << 32) + made, group, pieces, keep_ids))
         return _frame(rows).to_pandas()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

@@ -20,8 +20,8 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = warc.archive(spark, load(spark, sf_dir, "pages"))
-    return warc.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+    pages = load(spark, sf_dir, "pages")
+    return warc.look_up(warc.archive(spark, pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
