@@ -8,32 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from trajlake.llm.common import load, written
+from trajlake.llm.common import load, release, written
 from trajlake.llm.queries import tokenizer_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on the labelled ones, does not reject."""
+    """Documents that the ordinal model, fitted on the labelled ones, does not reject; see :func:`toxicity.keep_clean` for nulls and repeats."""
     return toxicity.keep_clean(docs, toxicity.fit_on(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, A-Z lower-cased, the document with the largest id."""
+    """Of equal texts, A-Z lower-cased, the document with the largest id; one of rows that repeat it (:func:`exact_dedup.deduplicate`)."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 on five-word shingles."""
+    """One document, that of the smallest id, of each group linked by a similarity of 0.8 on five-word shingles (:func:`near_dedup.deduplicate`)."""
     return near_dedup.deduplicate(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice, each row by itself (:func:`mixing.repeat`)."""
     return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
+    """Pieces of documents in sequences of 2048 ids, repeated documents each on their own (:func:`packing.pack`)."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """The pieces that the last stage gives; what the stages before it wrote is deleted once the next one has read it."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -564,6 +564,85 @@ def test_length_does_not_hide_toxic_text(spark):
     assert toxicity.windows_of(0) == [(0, 0)] and toxicity.windows_of(64) == [(0, 64)] and toxicity.windows_of(130) == [(0, 64), (32, 96), (64, 128), (96, 130)]
 
 
+def test_margins_and_severity_against_plain_python(spark, rows):
+    import re
+    from math import exp, sqrt
+
+    r = random.Random(3)
+    calm, insults = ["alpha", "beta", "gamma", "delta", "Größe", "zetalong"], ["vile", "rottenness", "nasty"]
+    texts = [" ".join(r.choices(calm, k=r.randint(1, 150))) for _ in range(150)] + [" ".join(r.choices(calm * 2 + insults, k=r.randint(10, 150))) for _ in range(60)]
+    model = toxicity.fit(texts, [0] * 150 + [1] * 60)
+    own = [(i, t) for i, t, *_ in rows] + [(1000 + i, t) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in toxicity.score(spark.createDataFrame(own, "doc_id long, text string"), model).collect()}
+    for i, t in own:
+        words = re.findall(rb"[a-z\x80-\xff]+", (t or "").encode().lower())
+        sums = []
+        for lo in range(0, max(1, len(words) - 32), 32):
+            total = 0.0
+            for w, c in Counter(words[lo : lo + 64]).items():
+                parts = [w, *(w[:k] + b"*" for k in (6, 7, 8, 9) if len(w) > k)]
+                total += sqrt(c) * sum(model.weights.get(p, 0.0) for p in parts)
+            sums.append(total)
+        p = [1 / (1 + exp(-max(-50, min(50, max(sums) - cut)))) for cut in model.cuts]
+        assert got[i]["margin"] == pytest.approx(max(sums), abs=1e-9) and got[i]["severity"] == pytest.approx(sum(p), abs=1e-9) and got[i]["toxic"] == (p[0] >= toxicity.THRESHOLD)
+
+
+def test_toxicity_on_labelled_documents_that_were_not_learnt_from(spark):
+    docs1, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_on(docs1, labels.where("doc_id % 2 = 0"))
+    rows = toxicity.score(docs1.where("doc_id % 2 = 1"), model).join(labels.where("toxic is not null"), "doc_id").select(labels["toxic"].alias("want"), "severity", "p_mild").collect()
+    said = [r["p_mild"] >= toxicity.THRESHOLD for r in rows]
+    toxic = [s for r, s in zip(rows, said, strict=True) if r["want"]]
+    clean = [s for r, s in zip(rows, said, strict=True) if not r["want"]]
+    assert sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.005 and len(toxic) > 100
+
+
+def test_long_labelled_texts_are_judged_but_not_learnt_from(spark):
+    docs = spark.createDataFrame([(i, "calm words here" if i % 4 else "vile words here", "x") for i in range(80)] + [(100, "novel " * 100000, "x"), (None, "vile words here", "x")], "doc_id long, text string, _text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(100, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit_on(docs, labels)
+    assert b"novel" not in model.weights and model.weights.get(b"vile", 0) > 0
+    assert {r["doc_id"] for r in toxicity.score(docs, model).where("toxic").collect()} == {None, *range(0, 80, 4)}
+
+
+def test_quality_against_plain_python(spark, rows):
+    import re
+
+    def features(part, seen):
+        n = len(part)
+        coarse = lambda b: 0 if 97 <= b < 123 else 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 3 if b == 32 else 4 if b == 10 else 5 if 128 <= b < 192 else 6 if b >= 192 else 9 if b in b".," else 8 if b in quality._MARKS else 7
+        return n, [coarse(b) for b in part]
+
+    text = "Some words, a LINE\n" * 70 + "Größe 12 \x01 end. " * 9
+    data = text.encode()
+    got = quality.passages(text)
+    assert len(got) == -(-len(data) // 512) and re.match("Some", text)
+    for k in range(len(got)):
+        part = data[512 * k : 512 * k + 512]
+        n, kinds = features(part, None)
+        pairs = Counter(zip(kinds, features(data[512 * k : 512 * k + 513], None)[1][1:], strict=False))
+        for (a, b), c in pairs.items():
+            assert got[k, quality.N_CLASSES + a * quality.N_COARSE + b] == pytest.approx(c / n, abs=1e-6)
+        assert got[k, 0] == pytest.approx(sum(97 <= b < 123 for b in part) / n, abs=1e-6) and got[k, -1] == pytest.approx(n / 512)
+        again = sum(data.find(data[s : s + 8]) < s for s in range(512 * k, min(512 * k + 512, len(data) - 7)))
+        assert got[k, -2] == pytest.approx(again / n, abs=1e-6)
+    long = quality.passages(text * 1500)
+    assert len(long) == -(-len(data) * 1500 // 512) and np.isfinite(long).all()
+    r = np.random.default_rng(1)
+    shapes = {"W": (quality.N_FEATURES, 5), "b": (5,), "V": (5, 3), "U": (5, 3), "w": (3,), "c": (5,), "d": (1,)}
+    model = quality.AttentionModel(r.normal(size=quality.N_FEATURES), r.uniform(0.5, 2, quality.N_FEATURES), {k: r.normal(0, 0.3, v) for k, v in shapes.items()})
+    q, want = model.params, []
+    for _, t, *_ in rows:
+        x = (quality.passages(t or "") - model.mean) / model.scale
+        h = np.tanh(x @ q["W"] + q["b"])
+        e = np.array([sum(q["w"][j] * np.tanh(v @ q["V"][:, j]) / (1 + np.exp(-(v @ q["U"][:, j]))) for j in range(3)) for v in h])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        want.append(1 / (1 + np.exp(-((a[:, None] * h).sum(0) @ q["c"] + q["d"][0]))))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    scored = {x["doc_id"]: x for x in quality.score(df, model, block=7).collect()}
+    assert [scored[r[0]]["score"] for r in rows] == pytest.approx(want, abs=1e-5)
+
+
 def test_quality(spark, docs, empty):
     docs1, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit_on(docs1, labels)

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-MAX_TRAIN = 4000
+#: Bounds of the labelled sample: rows, and bytes of a text (longer ones are scored but not learnt from).
+MAX_TRAIN, MAX_TRAIN_BYTES = 4000, 1 << 18
 PASSAGE_BYTES = 512
+#: Passages whose features are computed at once, and among which repeated pieces are looked for.
+STRETCH_PASSAGES = 2048
 
 #: Byte classes: lower, upper, digit, blank, line end, each mark of its own, other control, non-ASCII lead and trail.
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -30,8 +33,15 @@ N_FEATURES = N_CLASSES + N_COARSE * N_COARSE + 3
 
 def passages(text: str) -> np.ndarray:
     """Features of each passage of ``PASSAGE_BYTES`` bytes of the whole text: shares of byte classes and of pairs of coarse
-    classes, mean word length, share of repeated 8-byte pieces of the passage, and the passage's fill. An empty text is one empty passage."""
-    data = np.frombuffer(text.encode(), np.uint8)
+    classes, mean word length, share of 8-byte pieces that stand earlier in the same 2048 passages too, and the passage's fill.
+
+    Memory beside the result is that of 2048 passages, however long the text. An empty text is one empty passage.
+    """
+    data, step = text.encode(), STRETCH_PASSAGES * PASSAGE_BYTES
+    return np.concatenate([_stretch(np.frombuffer(data[a : a + step], np.uint8)) for a in range(0, max(1, len(data)), step)])
+
+
+def _stretch(data: np.ndarray) -> np.ndarray:
     n = max(1, -(-len(data) // PASSAGE_BYTES))
     out = np.zeros((n, N_FEATURES), np.float32)
     if not len(data):
@@ -125,8 +135,12 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
-    """Fit on at most ``max_train`` labelled documents that are not held out, chosen by a hash of the id; nulls are left out."""
+def fit_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
+    """Fit on at most ``max_train`` labelled documents that are not held out, chosen by a hash of the id.
+
+    Rows with a null id or label and texts of more than ``max_bytes`` bytes are not learnt from, so that what comes to the driver
+    is bounded. Of labels that repeat an id the larger counts, of documents any one. No labels give a score of 0.5 for all.
+    """
     chosen = labels.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y is not null")
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
 
@@ -135,16 +149,17 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label
             made = [passages(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], ["_id", "_x", "_y"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y")
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).where(F.octet_length("_text") <= max_bytes).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y")
     got = sorted({r["_id"]: r for r in rows.mapInArrow(run, "_id long, _x binary, _y int").collect()}.values(), key=lambda r: r["_id"])
     bags = [np.frombuffer(bytes(r["_x"]), np.float16).astype(np.float32).reshape(-1, N_FEATURES) for r in got]
     return fit(bags, [r["_y"] for r in got])
 
 
 def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text", block: int = 64) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted. Only the text enters a score; null text counts as empty.
+    """One row per input row: id, held_out, score, predicted. Only the whole text enters a score; null text counts as empty.
 
-    A null id is scored like any other and counts as not held out.
+    Equal texts have equal scores but for rounding. A null id is scored like any other and counts as not held out; repeated rows
+    each have their result; other columns are not looked at. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

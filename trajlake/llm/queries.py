@@ -16,15 +16,18 @@ def tokenizer_path() -> str:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, stored as PNG, read back: see media.media_features. Null texts are empty; each row has its result."""
     return media.media_features(media.media_column(load(spark, sf_dir, "documents")))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, then looked up by its URL and id through the two-level index. Null html is empty; a null URL has the empty key."""
     pages = load(spark, sf_dir, "pages")
     return warc.look_up(warc.archive(spark, pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of every text. Null texts have none, and a null max_score."""
     found = secrets.scan(load(spark, sf_dir, "documents"), secrets.default_forest(spark))
     real = F.filter("findings", lambda x: x["secret"])
     return found.select(
@@ -37,32 +40,39 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of similar documents on two-word shingles. Null and empty texts are linked with nothing."""
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), words=2)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of every text as a repeat of 100 bytes or more. Null texts are empty."""
     return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents")).drop("spans")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces of sequences of 2048 ids. Null texts hold the end id only."""
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every text. Null texts are scored as empty ones."""
     docs = load(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit_on(docs, load(spark, sf_dir, "labels")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every text. Null texts are judged as empty ones."""
     docs = load(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit_on(docs, load(spark, sf_dir, "labels")))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts. Null texts are empty ones."""
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("_text", 256)})
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null texts have size 0, a null source comes last."""
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

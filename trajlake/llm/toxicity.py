@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Largest number of labelled rows that a model is fitted on.
-MAX_TRAIN = 3000
+#: Bounds of the labelled sample: rows, and bytes of a text (longer ones are judged but not learnt from).
+MAX_TRAIN, MAX_TRAIN_BYTES = 3000, 1 << 18
 #: A document is rejected from this probability of a grade above 0 on.
 THRESHOLD = 0.4
-MAX_FEATURES = 50_000
+#: A feature counts if so many labelled texts of the sample have it; rarer ones would fit single texts.
+MIN_TEXTS = 5
 
 _table = bytearray(b" " * 256)
 for _c in b"abcdefghijklmnopqrstuvwxyz":
@@ -99,11 +100,15 @@ def telling_words(texts: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
     bad, good = Counter(), Counter()
     for words, t in zip(texts, toxic, strict=True):
         (bad if t else good).update(set(words))
-    return {w for w, c in bad.items() if c >= 5 and c / n1 >= 8 * (good[w] + 1) / n0}
+    return {w for w, c in bad.items() if c >= MIN_TEXTS and c / n1 >= 8 * (good[w] + 1) / n0}
 
 
 def grades(texts: list[list[bytes]], toxic: np.ndarray, telling: set[bytes]) -> np.ndarray:
-    """Ordered grades from 0/1 labels: a toxic text is 2 rather than 1 if its largest share of telling words in a window is above the median."""
+    """Ordered grades from 0/1 labels. What orders toxic texts is how densely the words that mark them stand where they stand most
+    densely: a text is 2 rather than 1 if its largest share of telling words in a window is above the toxic texts' median.
+
+    Labels of more than two grades would take the place of this; the regression itself only asks for ordered grades.
+    """
 
     def share(words: list[bytes]) -> float:
         return max(sum(w in telling for w in words[lo:hi]) / max(1, hi - lo) for lo, hi in windows_of(len(words)))
@@ -128,7 +133,7 @@ def fit(texts: list[str], toxic: list[int], l1: float = 5e-4, steps: int = 300,
     seen: Counter = Counter()
     for own in words:
         seen.update({f for w in set(own) for f in features_of(w)})
-    common = sorted(((f, c) for f, c in seen.items() if c >= 5), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES]
+    common = sorted(((f, c) for f, c in seen.items() if c >= MIN_TEXTS), key=lambda x: (-x[1], x[0]))
     vocabulary = {f: i for i, (f, _) in enumerate(common)}
     del seen
     number: dict[bytes, int] = {}
@@ -188,11 +193,15 @@ def fit(texts: list[str], toxic: list[int], l1: float = 5e-4, steps: int = 300,
     return Ordinal({f: float(w[i]) for f, i in vocabulary.items() if w[i]}, cuts)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
-    """Fit on at most ``max_train`` labelled documents, chosen by a hash of their id. Rows with a null id or label are left out."""
+def fit_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
+    """Fit on at most ``max_train`` labelled documents, chosen by a hash of their id.
+
+    Rows with a null id or label and texts of more than ``max_bytes`` bytes are not learnt from, so that what comes to the driver
+    is bounded. Of labels that repeat an id the larger counts, of documents any one. Without toxic labels nothing is rejected.
+    """
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null")
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").collect()
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).where(F.octet_length("_text") <= max_bytes).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").collect()
     rows = sorted({r["_id"]: r for r in rows}.values(), key=lambda r: r["_id"])
     return fit([r["_text"] for r in rows], [r["_y"] for r in rows])
 
@@ -200,7 +209,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, margin, p_mild, p_severe, severity (expected grade, 0 to 2) and toxic (p_mild >= THRESHOLD).
 
-    Null and empty texts have no words and get the model's base rates; a null id stays null. The whole text counts.
+    The whole text counts. Null and empty texts have no words and get the model's base rates; a null id stays null; equal texts
+    have equal results, repeated rows one each; other columns are not looked at. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +224,11 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
 
 def keep_clean(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text the model rejects; columns unchanged, no shuffle."""
+    """``docs`` without the rows whose text the model rejects; columns unchanged, whatever their names; no shuffle.
+
+    Each row is judged by its whole text alone, so repeated rows stay or go together and null ids make no difference. Null and
+    empty texts have the model's base rates, which reject nothing unless all labels are toxic. An empty table gives no rows.
+    """
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
