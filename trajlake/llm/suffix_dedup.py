@@ -41,8 +41,8 @@ STORED = LENGTH + LEFT + 2
 SEGMENT, SEGMENT_DOCS = 1 << 20, 8192
 #: Bytes whose anchors are found at once.
 STRETCH = 1 << 20
-#: Text bytes whose suffixes make up one part, if each is distinct: about 100 MB of memory.
-PART_BYTES = 1 << 24
+#: Text bytes whose suffixes make up one part, if each is distinct: about 50 MB of memory.
+PART_BYTES = 1 << 23
 #: Suffixes of a batch, the smallest level of a family.
 BATCH = 1 << 14
 #: A piece that occurs more often than this, and than a millionth of all, is avoided as an anchor.
@@ -77,8 +77,11 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of each run of ``PIECE`` bytes, from prefix sums modulo 2**64."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _power(_BASE, n), out=sums[1:])
-    out = (sums[PIECE:] - sums[:-PIECE]) * _power(_INVERSE, n - PIECE + 1)
+    np.take(_BYTES, data, out=sums[1:])
+    sums[1:] *= _power(_BASE, n)
+    np.cumsum(sums[1:], out=sums[1:])
+    out = sums[PIECE:] - sums[:-PIECE]
+    out *= _power(_INVERSE, n - PIECE + 1)
     out ^= out >> np.uint64(32)
     out *= _FIN
     return out
@@ -91,7 +94,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, hot: np.ndarray = _NO_KEYS) -> t
     if len(data) < LENGTH:
         return none, none, none, _NO_KEYS
     hashes = piece_hashes(data)
-    low = (hashes >> np.uint64(1)) & ~_INDEX | np.arange(len(hashes), dtype=np.uint64)
+    low = hashes >> np.uint64(1)
+    low &= ~_INDEX
+    low |= np.arange(len(hashes), dtype=np.uint64)
     if len(hot):
         low[hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes] |= np.uint64(1 << 63)
     width = 1
@@ -184,14 +189,19 @@ def _earlier(a: Suffixes, b: Suffixes) -> np.ndarray:
     return out
 
 
+def in_text_order(new: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the suffixes sorted by text, the earliest of equal ones only; and of the others."""
+    order = new.in_order()
+    order = order[np.argsort(new.text[order], kind="stable")]
+    text = new.text[order]
+    first = np.ones(len(new), bool)
+    first[1:] = text[1:] != text[:-1]
+    return order[first], order[~first]
+
+
 def suffix_array(new: Suffixes) -> tuple[Suffixes, Suffixes]:
     """The suffixes sorted by text, the earliest of equal ones only, with their neighbours' common prefixes; and the others."""
-    new = new.take(new.in_order())
-    order = np.argsort(new.text, kind="stable")
-    new = new.take(order)
-    first = np.ones(len(new), bool)
-    first[1:] = new.text[1:] != new.text[:-1]
-    out, rest = new.take(first), new.take(~first)
+    out, rest = map(new.take, in_text_order(new))
     if len(out) > 1:
         own = out.bytes()
         n = _prefix(own[1:], own[:-1])
@@ -468,7 +478,8 @@ def _suffixes(payload: bytes) -> Suffixes:
 
 
 def _suffix_blocks(parts: int, hot: np.ndarray, pruned: bool):
-    """For each segment's stretch and each part its suffixes; of equal ones of a segment only the earliest, the others as marks."""
+    """For each segment's stretch and each part its suffixes in text order; of equal ones of a stretch only the earliest, the
+    others as marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -476,22 +487,27 @@ def _suffix_blocks(parts: int, hot: np.ndarray, pruned: bool):
                 ids, ties, ends = (np.frombuffer(x, np.int64) for x in (ids, ties, ends))
                 bits: dict[tuple[int, int], bytes] = {(f["stretch"], f["part"]): f["bits"] for f in flags or ()}
                 for k, (a, data, pos, lo, hi, keys) in enumerate(_stretches(_unpacked(text), ends, hot)):
-                    part, cold = _part_of(keys, parts), ~_is_hot(keys, hot)
-                    order = np.argsort(part, kind="stable")
-                    present, begins = np.unique(part[order], return_index=True)
-                    rows = []
-                    for p, i in zip(present.tolist(), np.split(order, begins[1:]), strict=True):
-                        if pruned and cold[i].any():
-                            wanted = np.ones(len(i), bool)
-                            wanted[cold[i]] = np.unpackbits(np.frombuffer(bits[k, p], np.uint8), count=int(cold[i].sum())).astype(bool)
-                            i = i[wanted]
-                        if not len(i):
-                            continue
-                        own = np.searchsorted(ends, pos[i] + a, "right")
-                        begin = np.where(own > 0, ends[own - 1], 0)
-                        new = Suffixes(stored_text(data, pos[i], lo[i], hi[i]), ids[own], ties[own], (seg << 20) + own, pos[i] + a - begin, np.zeros(len(i), np.uint8))
-                        kept, again = suffix_array(new)
-                        rows.append((p, _payload(kept), _marks_payload(*again.marks()) if len(again) else None))
+                    part = _part_of(keys, parts)
+                    wanted = np.ones(len(part), bool)
+                    if pruned:
+                        cold = np.flatnonzero(~_is_hot(keys, hot))
+                        cold = cold[np.argsort(part[cold], kind="stable")]
+                        present, begins = np.unique(part[cold], return_index=True)
+                        for p, i in zip(present.tolist(), np.split(cold, begins[1:]), strict=True):
+                            wanted[i] = np.unpackbits(np.frombuffer(bits[k, p], np.uint8), count=len(i)).astype(bool)
+                    i = np.flatnonzero(wanted)
+                    if not len(i):
+                        continue
+                    own = np.searchsorted(ends, pos[i] + a, "right")
+                    begin = np.where(own > 0, ends[own - 1], 0)
+                    new = Suffixes(stored_text(data, pos[i], lo[i], hi[i]), ids[own], ties[own], (seg << 20) + own, pos[i] + a - begin, np.zeros(len(i), np.uint8))
+                    kept, again = in_text_order(new)
+                    part = part[i][kept]
+                    kept = kept[np.argsort(part, kind="stable")]
+                    present, begins = np.unique(part, return_counts=True)
+                    rows = [(p, _payload(new.take(j)), None) for p, j in zip(present.tolist(), np.split(kept, np.cumsum(begins)[:-1]), strict=True)]
+                    if len(again):
+                        rows[0] = (*rows[0][:2], _marks_payload(*new.take(again).marks()))
                     yield _batch(rows, _BLOCK | {"marks": pa.binary()})
 
     return run

@@ -209,7 +209,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_b
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, margin, p_mild, p_severe, severity (expected grade, 0 to 2) and toxic (p_mild >= THRESHOLD).
 
-    The whole text counts. Null and empty texts have no words and get the model's base rates; a null id stays null; equal texts
+    The whole text counts. Null and empty texts have no words, so the cuts alone judge them; a null id stays null; equal texts
     have equal results, repeated rows one each; other columns are not looked at. An empty table gives no rows.
     """
 
@@ -227,7 +227,7 @@ def keep_clean(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataF
     """``docs`` without the rows whose text the model rejects; columns unchanged, whatever their names; no shuffle.
 
     Each row is judged by its whole text alone, so repeated rows stay or go together and null ids make no difference. Null and
-    empty texts have the model's base rates, which reject nothing unless all labels are toxic. An empty table gives no rows.
+    empty texts are judged by the model's cuts alone. An empty table gives no rows.
     """
     at, names = docs.columns.index(text_col), docs.columns
 
