@@ -5,12 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Trajectories that one padded block holds; they are sorted by length first.
 BLOCK = 512
+#: Query vertices in one machine word of the decision kernel; the top bit is left for carries.
+WORD = 63
+
+
+class Lists:
+    """An Arrow list column of doubles as a flat array with beginnings and lengths; a null list is empty."""
+
+    def __init__(self, column: pa.Array):
+        self.lengths = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+        self.begin = np.asarray(column.offsets)[:-1].astype(np.int64)
+        self.values = np.asarray(column.values, dtype=float)
+
+    def padded(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of equal length: a repeated last point does not change the distance."""
+        n = self.lengths[rows]
+        return self.values[self.begin[rows][:, None] + np.minimum(np.arange(n.max())[None], n[:, None] - 1)]
 
 
 def _table(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
@@ -31,11 +47,49 @@ def _table(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np
     return row[-1]
 
 
-def _padded(values: pd.Series, order: np.ndarray) -> np.ndarray:
-    """Rows of equal length: a repeated last point does not change the distance."""
-    own = [np.asarray(values.iloc[i], float) for i in order]
-    n = max(map(len, own))
-    return np.stack([np.pad(v, (0, n - len(v)), mode="edge") for v in own])
+def _words(free: np.ndarray) -> np.ndarray:
+    """Booleans (b, m) as words (b, ceil(m / 63)); bit k of word w is vertex 63 w + k."""
+    b, m = free.shape
+    n = -(-m // WORD)
+    bits = np.zeros((b, n, 64), bool)
+    for w in range(n):
+        part = free[:, w * WORD : (w + 1) * WORD]
+        bits[:, w, : part.shape[1]] = part
+    return np.packbits(bits, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+
+
+def reachable(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray, eps: float) -> np.ndarray:
+    """Is the distance of each trajectory (b, n) to its query (b, m) or to one (1, m) at most ``eps``?
+
+    For each point of the trajectory the vertices that a coupling within ``eps`` can have reached are the bits of a few
+    words: those reached from the point before, at the same vertex or the next, and from there on along all free vertices -
+    one addition, whose carry runs through them. Trajectories that can reach nothing any more are given up at once.
+    """
+    out, alive, reached = np.zeros(len(px), bool), np.arange(len(px)), None
+    m = qx.shape[1]
+    one, top = np.uint64(1), np.uint64(WORD - 1)
+    for i in range(px.shape[1]):
+        shared = len(qx) == 1
+        ox, oy = (qx, qy) if shared else (qx[alive], qy[alive])
+        free = _words(np.sqrt((px[alive, i : i + 1] - ox) ** 2 + (py[alive, i : i + 1] - oy) ** 2) <= eps)
+        new = np.empty_like(free)
+        carry = np.ones(len(alive), np.uint64) if reached is None else np.zeros(len(alive), np.uint64)
+        for w in range(free.shape[1]):
+            seeds = carry.copy()
+            if reached is not None:
+                seeds |= reached[:, w] | (reached[:, w] << one)
+                if w:
+                    seeds |= reached[:, w - 1] >> top
+            seeds &= free[:, w]
+            new[:, w] = (((free[:, w] + seeds) ^ free[:, w]) & free[:, w]) | seeds
+            carry = new[:, w] >> top & one
+        live = new.any(1)
+        alive, reached = alive[live], new[live]
+        if not len(alive):
+            return out
+    last = m - 1
+    out[alive] = (reached[:, last // WORD] >> np.uint64(last % WORD) & one).astype(bool)
+    return out
 
 
 def _blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
@@ -45,31 +99,74 @@ def _blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
         yield order[i : i + BLOCK]
 
 
+def _query(query: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([[p[0] for p in query]], float), np.array([[p[1] for p in query]], float)
+
+
 def frechet_to(query: list[tuple[float, float]], xs: Column, ys: Column) -> Column:
     """Distance of each trajectory (arrays of x and of y) to a fixed query; null for an empty or null trajectory."""
-    qx, qy = np.array([[p[0] for p in query]], float), np.array([[p[1] for p in query]], float)
+    qx, qy = _query(query)
 
-    @F.pandas_udf("double")
-    def kernel(px: pd.Series, py: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def kernel(px: pa.Array, py: pa.Array) -> pa.Array:
+        x, y = Lists(px), Lists(py)
         out = np.full(len(px), np.nan)
-        for order in _blocks(px.map(lambda v: 0 if v is None else len(v)).to_numpy()):
-            out[order] = _table(_padded(px, order), _padded(py, order), qx, qy)
-        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+        for order in _blocks(x.lengths):
+            out[order] = _table(x.padded(order), y.padded(order), qx, qy)
+        return pa.array(out, mask=np.isnan(out))
+
+    return kernel(xs, ys)
+
+
+def frechet_within(query: list[tuple[float, float]], eps: float, xs: Column, ys: Column) -> Column:
+    """Is the distance of each trajectory to a fixed query at most ``eps``? False for an empty or null one and an empty query."""
+    qx, qy = _query(query)
+
+    @F.arrow_udf("boolean")
+    def kernel(px: pa.Array, py: pa.Array) -> pa.Array:
+        x, y = Lists(px), Lists(py)
+        out = np.zeros(len(px), bool)
+        for order in _blocks(x.lengths) if len(query) and eps >= 0 else ():
+            out[order] = reachable(x.padded(order), y.padded(order), qx, qy, eps)
+        return pa.array(out)
 
     return kernel(xs, ys)
 
 
+def _pair_blocks(n: np.ndarray, m: np.ndarray) -> Iterator[np.ndarray]:
+    order = np.lexsort((m, n))
+    order = order[(n[order] > 0) & (m[order] > 0)]
+    for i in range(0, len(order), BLOCK):
+        yield order[i : i + BLOCK]
+
+
 def frechet_between(xs: Column, ys: Column, us: Column, vs: Column) -> Column:
     """Distance of the two trajectories of each row; null where one is empty or null."""
 
-    @F.pandas_udf("double")
-    def kernel(px: pd.Series, py: pd.Series, qx: pd.Series, qy: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def kernel(px: pa.Array, py: pa.Array, qx: pa.Array, qy: pa.Array) -> pa.Array:
+        x, y, u, v = map(Lists, (px, py, qx, qy))
         out = np.full(len(px), np.nan)
-        size = lambda s: s.map(lambda v: 0 if v is None else len(v)).to_numpy()
-        n, m = size(px), size(qx)
-        for order in _blocks(np.where((n > 0) & (m > 0), n * 4096 + m, 0)):
-            out[order] = _table(*(_padded(s, order) for s in (px, py, qx, qy)))
-        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+        for order in _pair_blocks(x.lengths, u.lengths):
+            out[order] = _table(x.padded(order), y.padded(order), u.padded(order), v.padded(order))
+        return pa.array(out, mask=np.isnan(out))
+
+    return kernel(xs, ys, us, vs)
+
+
+def within_between(eps: float, xs: Column, ys: Column, us: Column, vs: Column) -> Column:
+    """Is the distance of the two trajectories of each row at most ``eps``? False where one is empty or null."""
+
+    @F.arrow_udf("boolean")
+    def kernel(px: pa.Array, py: pa.Array, qx: pa.Array, qy: pa.Array) -> pa.Array:
+        x, y, u, v = map(Lists, (px, py, qx, qy))
+        out = np.zeros(len(px), bool)
+        for order in _pair_blocks(x.lengths, u.lengths):
+            ends = u.lengths[order]
+            for m in np.unique(ends):  # the bit of the last vertex is the same for queries of one length
+                own = order[ends == m]
+                out[own] = reachable(x.padded(own), y.padded(own), u.padded(own), v.padded(own), eps)
+        return pa.array(out)
 
     return kernel(xs, ys, us, vs)
 

@@ -133,16 +133,31 @@ def time_at(x: Column, x1: Column, t1: Column, x2: Column, t2: Column) -> Column
     return F.when(x1 == x2, t1).otherwise(F.round(t1 + (x - x1) / F.nullif(x2 - x1, F.lit(0.0)) * (t2 - t1)))
 
 
+#: Queries of more vertices are folded over an array literal, so that plans and generated code stay small.
+FEW = 8
+
+
+def vertices(query: list[Point]) -> Column:
+    """The query's vertices as an array of structs (x, y)."""
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in query])
+
+
+def least_over(query: list[Point], measure) -> Column:
+    """The smallest value of ``measure`` (of a point) over the query's vertices."""
+    if len(query) > FEW:
+        return F.array_min(F.transform(vertices(query), measure))
+    all_ = [measure(q) for q in query]
+    return F.least(*all_) if len(all_) > 1 else all_[0]
+
+
 def nearest_to_query(p, query: list[Point]) -> Column:
     """Smallest distance from a point to the vertices of the query."""
-    all_ = [distance(p, q) for q in query]
-    return F.least(*all_) if len(all_) > 1 else all_[0]
+    return least_over(query, lambda q: distance(p, q))
 
 
 def rect_to_query(rect, query: list[Point]) -> Column:
     """Smallest distance from the query's vertices to a rectangle."""
-    all_ = [point_rect(q, rect) for q in query]
-    return F.least(*all_) if len(all_) > 1 else all_[0]
+    return least_over(query, lambda q: point_rect(q, rect))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -1,38 +1,58 @@
-"""Batch range search: many queries at once, as equi-joins on grid cells and ids."""
+"""Batch range search: many queries at once, as equi-joins on the cells of both ends."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frechet import frechet_between
-from ..functions.geometry import distance, point_rect
-from ..functions.grid import hilbert_column
+from ..functions.frechet import within_between
+from ..functions.geometry import distance
 from ..sources.layout import Layout
 from . import trajectories as T
 
+#: An end's cell is this fraction of eps wide; a query meets the cells within eps of its own end.
+FINENESS = 2
 
-def query_cells(queries: DataFrame, layout: Layout, eps: float) -> DataFrame:
-    """Distinct (qid, cell): the cells within eps of any of the query's vertices."""
-    g = layout.grid
-    points = queries.select("qid", F.explode("pts").alias("q"))
-    window = lambda v, axis: F.explode(F.sequence(g.ordinal(v - F.lit(eps), axis), g.ordinal(v + F.lit(eps), axis)))
-    cells = points.select("qid", "q", window(F.col("q.x"), "x").alias("ix")).select("qid", "q", "ix", window(F.col("q.y"), "y").alias("iy"))
-    w, h = (g.max_x - g.min_x) / g.n, (g.max_y - g.min_y) / g.n
-    x, y = F.lit(g.min_x) + F.col("ix") * w, F.lit(g.min_y) + F.col("iy") * h
-    return cells.where(point_rect(F.col("q"), [x, y, x + w, y + h]) <= F.lit(eps)).select("qid", hilbert_column(F.col("ix"), F.col("iy"), g.bits).alias("cell")).distinct()
+
+def _places(of: DataFrame, own: Column, other: Column, cell: float, reach: int = 0) -> DataFrame:
+    """``of`` with _fx, _fy, _lx, _ly, the cells of the first and last point; with ``reach`` a row for each combination nearby."""
+    for name, v in (("_fx", own["x"]), ("_fy", own["y"]), ("_lx", other["x"]), ("_ly", other["y"])):
+        at = F.floor(v / F.lit(cell))
+        of = of.withColumn(name, F.explode(F.sequence(at - reach, at + reach)) if reach else at)
+    return of
 
 
 def batch_range(layout: Layout, queries: DataFrame, eps: float) -> DataFrame:
-    """(qid, id, frechet) of all pairs within eps, for ``queries`` (qid, pts). Candidates share all their cells with the query's.
+    """(qid, id) of all pairs within eps, for ``queries`` (qid, pts); a negative eps gives none.
 
-    Tracklets join queries on the cell with their metadata only; points are fetched for complete candidates whose ends fit.
+    A pair within eps has its first points within eps, its last points too, and every point of either within eps of the other's
+    box. First and last points are matched by an equi-join on cells of half eps, so a busy place is dealt out by where
+    trajectories lead; the boxes are compared in the join; what is left is decided by the early-stopping kernel. Each
+    trajectory is shuffled once, with its points, and a query once for each of the cells near its ends.
     """
-    ends = queries.select("qid", F.get("pts", F.lit(0)).alias("_q1"), F.element_at("pts", -1).alias("_qm"))
-    pairs = query_cells(queries, layout, eps).join(ends, "qid")
-    meta = layout.tracks.select("cell", "id", "seq_start", "seq_end", "is_last", "n_points", "first_pt", "last_pt")
-    fits = ((F.col("seq_start") > 1) | (distance(F.col("first_pt"), F.col("_q1")) <= F.lit(eps))) & (~F.col("is_last") | (distance(F.col("last_pt"), F.col("_qm")) <= F.lit(eps)))
-    grouped = meta.join(pairs, "cell").where(fits).groupBy("qid", "id").agg(F.min("seq_start").alias("_first"), F.max("seq_end").alias("_end"), F.bool_or("is_last").alias("_last"), F.sum("n_points").alias("_n"))
-    candidates = grouped.where("_first = 1 and _last and _n = _end").select("qid", "id")
-    both = candidates.join(layout.whole.select("id", "pts"), "id").join(queries.select("qid", F.col("pts").alias("_q")), "qid")
-    return both.select("qid", "id", frechet_between(T.xs("pts"), T.ys("pts"), T.xs("_q"), T.ys("_q")).alias("frechet")).where(F.col("frechet") <= F.lit(eps))
+    sides = ["min_x", "min_y", "max_x", "max_y"]
+    if eps < 0:
+        return queries.select("qid").crossJoin(layout.whole.select("id").limit(0)).where("false")
+    ends = lambda p: (F.get(p, F.lit(0)), F.element_at(p, -1))
+    own = layout.whole.select("id", T.xs("pts").alias("_x"), T.ys("pts").alias("_y"), *sides, *[e.alias(n) for n, e in zip(("_p1", "_pn"), ends(F.col("pts")), strict=True)])
+    asked = queries.where(F.size("pts") > 0).select("qid", T.xs("pts").alias("_u"), T.ys("pts").alias("_v"), *[e.alias(n) for n, e in zip(("_q1", "_qm"), ends(F.col("pts")), strict=True)])
+    bound = {"_qa": F.array_min("_u"), "_qb": F.array_min("_v"), "_qc": F.array_max("_u"), "_qd": F.array_max("_v")}
+    asked = asked.withColumns(bound)
+    keys = ["_fx", "_fy", "_lx", "_ly"]
+    if eps == 0:
+        cell, reach = 1.0, 0
+    else:
+        cell, reach = eps / FINENESS, FINENESS
+    near = _places(asked, F.col("_q1"), F.col("_qm"), cell, reach)
+    if reach:  # cells that no point within eps can lie in
+        gap = lambda c, v: F.greatest(F.col(c) * cell - v, F.lit(0.0), v - (F.col(c) + 1) * cell)
+        for x, y, p in (("_fx", "_fy", "_q1"), ("_lx", "_ly", "_qm")):
+            dx, dy = gap(x, F.col(p)["x"]), gap(y, F.col(p)["y"])
+            near = near.where(F.sqrt(dx * dx + dy * dy) <= F.lit(eps * (1 + 1e-9)))
+    e = F.lit(eps)
+    fits = (distance(F.col("_p1"), F.col("_q1")) <= e) & (distance(F.col("_pn"), F.col("_qm")) <= e)
+    slack = F.lit(eps * (1 + 1e-9))
+    for low, high, a, c in (("min_x", "max_x", "_qa", "_qc"), ("min_y", "max_y", "_qb", "_qd")):
+        fits &= (F.abs(F.col(low) - F.col(a)) <= slack) & (F.abs(F.col(high) - F.col(c)) <= slack)
+    pairs = _places(own, F.col("_p1"), F.col("_pn"), cell).join(near, keys).where(fits)
+    return pairs.where(within_between(eps, F.col("_x"), F.col("_y"), F.col("_u"), F.col("_v"))).select("qid", "id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..functions.frechet import frechet_to
+from ..functions.frechet import frechet_within
 from ..functions.geometry import distance, within
 from ..functions.grid import PAD, code_column, home_digits, occupancy
 from ..functions.polyline import boxes_apart, chord_boxes, simplify
@@ -123,7 +123,7 @@ def funnel(layout: Layout, query: Query, eps: float) -> DataFrame:
     """One row: records of candidate keys, those whose ends fit, those within eps."""
     keys = candidate_keys(present_keys(layout), query, eps).select("key")
     ends = within(F.get("pts", F.lit(0)), query[0], eps) & within(F.element_at("pts", -1), query[-1], eps)
-    loaded = layout.shapes.join(keys, "key", "left_semi").select(ends.alias("_ends"), (frechet_to(query, T.xs("pts"), T.ys("pts")) <= F.lit(eps)).alias("_exact"))
+    loaded = layout.shapes.join(keys, "key", "left_semi").select(ends.alias("_ends"), frechet_within(query, eps, T.xs("pts"), T.ys("pts")).alias("_exact"))
     return loaded.agg(F.count(F.lit(1)).alias("loaded"), F.count_if("_ends").alias("after_endpoints"), F.count_if(F.col("_ends") & F.col("_exact")).alias("after_exact"))
 
 

@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frechet import frechet_to
+from ..functions.frechet import frechet_within
 from ..functions.geometry import any_of, nearest_to_query, rect_to_query, within
 from ..plans.predicates import Query, box_of, overlaps, pushdown, query_cells
 from ..sources.layout import Layout
 from . import trajectories as T
 
 
-
 def _rect() -> list[Column]:
     return [F.col(c) for c in T.RECT]
 
@@ -41,12 +40,13 @@ def gap_filter(cells: list[set[int]]) -> Column:
 
 
 def exact(df: DataFrame, query: Query, eps: float) -> DataFrame:
-    return df.withColumn("frechet", frechet_to(query, T.xs("pts"), T.ys("pts"))).where(F.col("frechet") <= F.lit(eps))
+    """The rows whose trajectory is within eps, decided without computing the distance."""
+    return df.where(frechet_within(query, eps, T.xs("pts"), T.ys("pts")))
 
 
 def brute_force(whole: DataFrame, query: Query, eps: float) -> DataFrame:
-    """(id, n_points, frechet) from whole trajectories without an index."""
-    return exact(whole.select("id", "n_points", "pts"), query, eps).select("id", "n_points", "frechet")
+    """(id, n_points) from whole trajectories without an index."""
+    return exact(whole.select("id", "n_points", "pts"), query, eps).select("id", "n_points")
 
 
 def range_query(layout: Layout, query: Query, eps: float, variant: str = "v2", local: str = "dist", is_exact: bool = True, flat: bool = False) -> DataFrame:
@@ -99,6 +99,6 @@ def funnel(layout: Layout, query: Query, eps: float, variant: str = "v2", local:
     whole = by_id.select(
         "n_tracklets", *[(F.coalesce(F.col("_end"), F.lit(-1)) == F.col(f"_n_{k}")).alias(k) for k in steps], gap_filter(cells).alias("_gap"), F.flatten(F.transform("_parts", lambda r: r["pts"])).alias("pts")
     ).withColumn("gap", F.col("local") & F.col("_gap"))
-    close = frechet_to(query, T.xs("pts"), T.ys("pts")) <= F.lit(eps)
+    close = frechet_within(query, eps, T.xs("pts"), T.ys("pts"))
     counted = whole.withColumn("exact", F.when(F.col("gap"), close).otherwise(F.lit(False)))
     return counted.agg(F.lit(len(every)).cast("long").alias("n_cells"), F.coalesce(F.sum("n_tracklets"), F.lit(0)).alias("n_tracklets"), *[F.count_if(k).alias(f"after_{k}") for k in (*steps, "gap", "exact")])

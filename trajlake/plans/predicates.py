@@ -9,7 +9,8 @@ from ..functions.geometry import any_of
 from ..functions.grid import Grid, hilbert
 
 Query = list[tuple[float, float]]
-#: More alternatives than this are united to fewer, larger boxes.
+#: So many boxes at most reach the scan as alternatives; of more, neighbours are united for the scan's sake, and each row is then
+#: tested against all of them.
 MOST_BOXES = 64
 
 
@@ -50,6 +51,17 @@ def _fewer(boxes: list) -> list:
     return boxes
 
 
+def meets_any(boxes: list[tuple[float, float, float, float]], eps: float) -> Column:
+    """Does the row's box meet one of the boxes grown by eps? The test is the same for any number of boxes."""
+    pushed = any_of([overlaps(b, eps) for b in _fewer(boxes)])
+    if len(boxes) <= MOST_BOXES:
+        return pushed
+    all_ = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("abcd", b, strict=True)]) for b in boxes])
+    e = F.lit(float(eps))
+    meets = lambda b: (F.col("max_x") >= b["a"] - e) & (F.col("min_x") <= b["c"] + e) & (F.col("max_y") >= b["b"] - e) & (F.col("min_y") <= b["d"] + e)
+    return pushed & F.exists(all_, meets)
+
+
 def border_cells(grid: Grid, query: Query, eps: float) -> list[int]:
     """Cells whose ordinal is at an edge of the window of the query's box grown by eps."""
     b = box_of(query)
@@ -63,8 +75,6 @@ def pushdown(variant: str, grid: Grid, query: Query, eps: float) -> Column:
     v3: it meets the box of a same-cell run of the query, grown by eps; v4: anything."""
     if variant == "v1":
         return ~F.col("cell").isin(border_cells(grid, query, eps)) | inside(box_of(query), eps)
-    if variant == "v2":
-        return any_of([overlaps(b, eps) for b in _fewer([(x, y, x, y) for x, y in query])])
-    if variant == "v3":
-        return any_of([overlaps(b, eps) for b in _fewer(query_runs(grid, query))])
+    if variant in ("v2", "v3"):
+        return meets_any([(x, y, x, y) for x, y in query] if variant == "v2" else query_runs(grid, query), eps)
     return F.lit(True)
