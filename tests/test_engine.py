@@ -14,10 +14,10 @@ from trajlake.sources import points as P
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"range_brute_medium"}))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_sql(spark, name):
     df = catalog.QUERIES[name](spark, SF)
-    rows = sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    rows = sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
     if name not in catalog.ORACLE_SQL:
         assert rows
         return
@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, name):
     got = con.execute(catalog.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == sorted(df.columns)
-    assert rows == sorted(tuple(r[names.index(c)] for c in sorted(names)) for r in got.fetchall())
+    assert rows == sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in got.fetchall()), key=str)
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +128,79 @@ def test_metrics(spark, tmp_path):
     a = spark.createDataFrame([(1, True), (2, False)], "query int, Issued boolean")
     merged = tools.merge_metrics(a, spark.createDataFrame([(1, 5.0), (2, 6.0)], "query int, sec double"), issued="Issued")
     assert {r["query"]: r["sec"] for r in merged.collect()} == {1: 5.0, 2: None}
+
+
+def test_statistics_are_stored_with_the_layout(loops):
+    stats = L.read_stats(loops.spark, loops.path)
+    assert (stats["n_trajectories"], stats["n_points"], stats["n_tracklets"], stats["active_cells"]) == (3, 7, loops.tracks.count(), loops.tracks.select("cell").distinct().count())
+    assert stats["files"] >= 1 and stats["empty_cells"] == 16 - stats["active_cells"]
+
+
+def test_times_are_kept(loops):
+    lines = {r["value"] for r in T.as_query_lines(loops.whole.where("id <> 'c'")).collect()}
+    assert lines == {"0.0,0.0,1577836800000;5.0,5.0,1577836801000;0.0,0.0,1577836802000;", "1.0,1.0,1577836800000;8.0,1.0,1577836801000;"}
+
+
+def test_malformed_query_lines(spark, tmp_path):
+    (tmp_path / "q").write_text("1,2,1000;x,3,1000;4,5,never;6;;\n\n")
+    rows = P.read_queries(spark, str(tmp_path / "q")).collect()
+    assert [[(p["x"], p["y"], p["t"] is None) for p in r["pts"]] for r in rows] == [[(1.0, 2.0, False), (4.0, 5.0, True)]]
+
+
+def test_columns_by_index_and_by_name(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("a;1;2\nb;x;4\n")
+    (tmp_path / "h.csv").write_text("n,lon,lat\na,1,2\n")
+    assert [tuple(r) for r in P.read_columns(spark, str(tmp_path / "c.csv"), 1, 2, ";").collect()] == [(1.0, 2.0), (None, 4.0)]
+    assert [tuple(r) for r in P.read_columns(spark, str(tmp_path / "h.csv"), "lon", "lat", header=True).collect()] == [(1.0, 2.0)]
+    spark.createDataFrame([(3.0, 4.0)], "lon double, lat double").write.parquet(f"{tmp_path}/p")
+    assert tools.box_count(P.read_columns(spark, f"{tmp_path}/p", "lon", "lat"), F.col("x"), F.col("y"), (3, 4, 5, 6)).first()["n"] == 1
+
+
+@pytest.mark.parametrize("eps", [-1.0, 0.0, 3.0])
+def test_batch_edges(loops, eps):
+    queries = loops.whole.select(F.col("id").alias("qid"), "pts").unionByName(loops.whole.limit(1).select(F.lit("none").alias("qid"), F.slice("pts", 1, 0).alias("pts")))
+    got = {(r["qid"], r["id"]) for r in batch.batch_range(loops, queries, eps).collect()}
+    want = {(q["id"], r["id"]) for q in loops.whole.collect() for r in range_query.brute_force(loops.whole, [(p["x"], p["y"]) for p in q["pts"]], eps).collect()}
+    assert got == want and (eps < 0) == (not got)
+
+
+def test_scans_of_the_shape_index_are_by_key_ranges(spark, monkeypatch):
+    own = catalog.layout(spark, SF, "shapes", fixture="walk")
+    query = catalog.query_of(own, None)
+    ranges = quadtree.candidate_ranges(own, query, 9000.0)
+    held = {r["key"] for r in quadtree.candidate_keys(own.shape_keys, query, 9000.0).collect()}
+    every = {r["key"] for r in own.shape_keys.collect()}
+    assert {k for k in every if any(lo <= k < hi for lo, hi in ranges)} == held and own.shape_keys.agg(F.sum("n")).first()[0] == own.shapes.count()
+    plan = quadtree.records(own, query, 9000.0)._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(key" in plan
+    want = {r["id"] for r in quadtree.records(own, query, 20000.0).collect()}
+    monkeypatch.setattr(quadtree, "MOST_RANGES", 1)
+    assert {r["id"] for r in quadtree.records(own, query, 20000.0).collect()} == want and want
+    wide = quadtree.frechet_ranges(query, 9000.0, quadtree.space(own))
+    assert all(any(lo <= k < hi for lo, hi in wide) for k in held)
+
+
+def test_long_queries_are_tested_against_every_box(loops, monkeypatch):
+    from trajlake.plans import predicates
+
+    query = [(float(i % 10), float(i % 7)) for i in range(90)]
+    for v in ("v2", "v3"):
+        want = {(r["id"], r["seq_start"]) for r in loops.tracks.where(predicates.pushdown(v, loops.grid, query, 0.5)).collect()}
+        monkeypatch.setattr(predicates, "MOST_BOXES", 3)
+        assert {(r["id"], r["seq_start"]) for r in loops.tracks.where(predicates.pushdown(v, loops.grid, query, 0.5)).collect()} == want
+        monkeypatch.undo()
+    assert range_query.range_query(loops, query, 100.0).count() == 3
+
+
+def test_metrics_by_job_and_stage(spark, tmp_path):
+    log = ['{"Event":"SparkListenerJobStart","Job ID":%d,"Stage IDs":[%s]}' % (j, ids) for j, ids in ((0, "0,1"), (1, "1,2"), (2, "3"))]
+    for s in range(4):
+        log.append('{"Event":"SparkListenerStageCompleted","Stage Info":{"Stage ID":%d,"Submission Time":1000,"Completion Time":%d}}' % (s, 2000 + 1000 * s))
+        log.append('{"Event":"SparkListenerTaskEnd","Stage ID":%d,"Task Metrics":{"Input Metrics":{"Bytes Read":%d}}}' % (s, 10 + s))
+    (tmp_path / "log").write_text("\n".join(log))
+    one = {r["query"]: (r["stages"], r["seconds"], r["input_bytes"]) for r in tools.job_metrics(spark, str(tmp_path / "log")).collect()}
+    assert one == {0: (2, 3.0, 21), 1: (1, 3.0, 12), 2: (1, 4.0, 13)}
+    assert {r["query"]: r["input_bytes"] for r in tools.job_metrics(spark, str(tmp_path / "log"), 2).collect()} == {0: 33, 1: 13}
+    results = spark.createDataFrame([(0, 5), (1, 6), (7, 8)], "query long, n int")
+    stages = spark.createDataFrame([(0, 1, 2.0), (0, 0, 1.0), (1, 2, 3.0)], "query long, stage_id int, seconds double")
+    assert {tuple(r) for r in tools.merge_stages(results, stages, 2).collect()} == {(0, 5, 1.0, 2.0), (1, 6, 3.0, None), (7, 8, None, None)}

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as geo
 from .functions.frechet import frechet_native
-from .functions.grid import hilbert_column
+from .functions.grid import cells_in, hilbert_column
 from .operators import batch, knn, quadtree, range_query, segments, tools
 from .operators import trajectories as T
 from .plans import oracle
 from .sources.layout import Layout, new_folder, present_cells, write_flat, write_trajectories
-from .sources.points import fixture_points
+from .sources.points import fixture_points, read_points, read_queries
 
 #: The batch search has every trajectory whose id is divisible by BATCH_STEP as a query, against all trajectories.
 BITS, EPS, K, BATCH_EPS, BATCH_STEP = 4, 20.25, 5, 8.25, 100
-MEDIUM_EPS = 200.37
+#: Radius for the queries of all points (49 to 86 of them) over scattered and over coherent trajectories.
+EPS_OF = {"short": EPS, "medium": 200.37, "walk": 16000.37}
 RECT, SEG = (3.0, 2.0, 20.0, 7.0), ((5.0, 1.0), (40.0, 9.0))
 
 _layouts: dict[tuple, Layout] = {}
@@ -84,9 +85,9 @@ def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.whole.where(frechet_native(F.col("pts"), query_of(own)) <= EPS).select("id", "n_points")
 
 
-def _range(variant: str, local: str, is_exact: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = layout(spark, sf_dir)
-    return range_query.range_query(own, query_of(own), EPS, variant, local, is_exact)
+def _range(variant: str, local: str, is_exact: bool, spark: SparkSession, sf_dir: str, fixture: str = "short", n: int | None = 4) -> DataFrame:
+    own = layout(spark, sf_dir, fixture=fixture)
+    return range_query.range_query(own, query_of(own, n), EPS_OF[fixture], variant, local, is_exact)
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +95,9 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_query.range_query(own, query_of(own), EPS, flat=True)
 
 
-def _two_phase(local: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = layout(spark, sf_dir)
-    return range_query.two_phase(own, query_of(own), EPS, local)
+def _two_phase(local: str, spark: SparkSession, sf_dir: str, fixture: str = "short", n: int | None = 4) -> DataFrame:
+    own = layout(spark, sf_dir, fixture=fixture)
+    return range_query.two_phase(own, query_of(own, n), EPS_OF[fixture], local)
 
 
 def _funnel(variant: str, local: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +105,9 @@ def _funnel(variant: str, local: str, spark: SparkSession, sf_dir: str) -> DataF
     return range_query.funnel(own, query_of(own), EPS, variant, local)
 
 
-def _indexed(f: Callable, part: str, value: float, spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = layout(spark, sf_dir, *([part] if part else []))
-    out = f(own, query_of(own), value)
+def _indexed(f: Callable, part: str, value: float, spark: SparkSession, sf_dir: str, fixture: str = "short", n: int | None = 4) -> DataFrame:
+    own = layout(spark, sf_dir, *([part] if part else []), fixture=fixture)
+    out = f(own, query_of(own, n), value)
     return out.withColumn("frechet", F.round("frechet", 6)) if "frechet" in out.columns else out
 
 
@@ -160,15 +161,55 @@ def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.rectangle_lines(tools.random_rectangles(spark, 1000, (1.0, 0.0, 50.0, 10.0), 0, 10**9, (5.0, 1.0, 10**6)))
 
 
+def _xz_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout(spark, sf_dir, "shapes").shapes.select("id", F.col("quad").alias("code"), "level")
+
+
+def _from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points written as delimited text, read back and loaded."""
+    path = new_folder(spark, "text")
+    p = fixture_points(spark, sf_dir)
+    p.select(F.concat_ws(";", F.col("id").cast("string"), F.date_format("t", "yyyy-MM-dd HH:mm:ss"), F.col("x").cast("string"), F.col("y").cast("string")).alias("value")).write.text(path)
+    return T.build_trajectories(read_points(spark, path, 0, 2, 3, 1, ";")).select(F.col("id").cast("long").alias("id"), "n_points", *T.RECT)
+
+
+def _query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported query trajectories, read back: how many points and where they lie."""
+    path = new_folder(spark, "queries")
+    T.as_query_lines(T.sample_whole(layout(spark, sf_dir).whole, 1000)).write.text(path)
+    pts = read_queries(spark, path).select(F.explode("pts").alias("p"))
+    return pts.agg(F.count(F.lit(1)).alias("n"), F.min("p.x").alias("min_x"), F.max("p.x").alias("max_x"), F.round(F.sum("p.y"), 6).alias("sum_y"))
+
+
+def _cell_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the tracklets in the grid cells that a rectangle meets."""
+    own = layout(spark, sf_dir)
+    return own.tracks.where(cells_in(own.grid, RECT)).agg(F.count(F.lit(1)).alias("n"), F.sum("n_points").alias("n_points"))
+
+
+def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose quadrant meets a window, by key ranges, and those of them that visit it by their sub-cells."""
+    own = layout(spark, sf_dir, "shapes")
+    ranges = quadtree.window_ranges(RECT, quadtree.space(own))
+    visiting = quadtree.window_keys(own.shape_keys.where(segments.in_ranges(ranges)), RECT).select("key")
+    in_window = own.shapes.where(segments.in_ranges(ranges)).agg(F.count(F.lit(1)).alias("n_window"))
+    return in_window.select("n_window", F.lit(own.shapes.join(visiting, "key", "left_semi").count()).alias("n_visiting"))
+
+
 def _present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present_cells(layout(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
 
 
 LOCALS = {"dist": "dist", "mbr": "mbr", "pivot": "pivot"}
+LONG = ("medium", "walk")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_trajectories": _trajectories, "load_stats": _stats, "tracklets": _tracklets, "tracklet_reassembly": _reassembly, "pivots": _pivots, "cell_counts": _cells, "present_cells": _present, "hilbert_cells": _hilbert,
-    "range_brute": _brute, "range_brute_medium": partial(_brute, fixture="medium", n=None, eps=MEDIUM_EPS), "range_native": _native,
+    "load_text": _from_text, "query_text": _query_text, "cell_window": _cell_points, "shape_window": _window, "xz_code": _xz_code,
+    "range_brute": _brute, "range_native": _native,
+    **{f"range_{k}_{f}": partial(q, fixture=f, n=None) for f in LONG for k, q in {
+        "brute": partial(_brute, eps=EPS_OF[f]), "mbr_v3": partial(_range, "v3", "mbr", True), "pivot_v2": partial(_range, "v2", "pivot", True), "pivot_twophase": partial(_two_phase, "pivot"),
+        "xzshape": partial(_indexed, quadtree.range_query, "shapes", EPS_OF[f]), "segment": partial(_indexed, segments.range_query, "segments", EPS_OF[f])}.items()},
     **{f"range_{k}_{v}": partial(_range, v, k, True) for k in LOCALS for v in ("v1", "v2", "v3", "v4")},
     "range_mbr_twophase": partial(_two_phase, "mbr"), "range_pivot_twophase": partial(_two_phase, "pivot"), "range_flat": _flat,
     "range_xzshape": partial(_indexed, quadtree.range_query, "shapes", EPS), "range_segment": partial(_indexed, segments.range_query, "segments", EPS),
@@ -176,7 +217,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"funnel_{k}_{v}": partial(_funnel, v, k) for k in LOCALS for v in ("v2", "v3")},
     "funnel_xzshape": partial(_indexed, quadtree.funnel, "shapes", EPS),
     "knn_brute": _knn_brute, "knn_brute_customer": partial(_knn_brute, fixture="customer", n=4), "knn_grid": partial(_indexed, knn.knn, "", K), "knn_grid_reassembled": partial(_indexed, knn.knn_reassembled, "", K),
-    "knn_xzshape": partial(_indexed, quadtree.knn, "shapes", K), "knn_segment": partial(_indexed, segments.knn, "segments", K),
+    **{f"knn_{k}_walk": partial(q, fixture="walk", n=None) for k, q in {"brute": _knn_brute, "grid": partial(_indexed, knn.knn, "", K), "xzshape": partial(_indexed, quadtree.knn, "shapes", K), "segment": partial(_indexed, segments.knn, "segments", K)}.items()},
+    "examined_knn_xzshape": partial(_indexed, quadtree.knn_funnel, "shapes", K), "knn_xzshape": partial(_indexed, quadtree.knn, "shapes", K), "knn_segment": partial(_indexed, segments.knn, "segments", K),
     "batch_range": _batch, "shape_key": _shape_key, "segment_signature": _signature, "dp_features": _dp, "box_filter": _box, "geo_distances": _geo,
     "export_sample": _sample, "export_parts": _sample_parts, "gen_rectangles": _rectangles,
 }
@@ -204,6 +246,7 @@ FROM (SELECT o_orderkey, o_totalprice / 10000 AS x, CAST(month(o_orderdate) AS D
 
 ORACLE_SQL: dict[str, str] = {
     "load_trajectories": f"WITH {oracle.points()} SELECT id, any_value(n) AS n_points, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM p GROUP BY id",
+    "load_text": f"WITH {oracle.points()} SELECT id, any_value(n) AS n_points, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM p GROUP BY id",
     "tracklets": f"{_with_runs} SELECT id, ix, iy, s AS seq_start, e AS seq_end, last AS is_last, k AS n_points, x0 AS min_x, y0 AS min_y, x1 AS max_x, y1 AS max_y FROM t",
     "tracklet_reassembly": f"""{_with_runs} SELECT p.id, any_value(n) AS n_points, any_value(z.nt) AS n_tracklets, round(sum((x + y) * power(0.5, n - i)), 6) AS "check"
 FROM p JOIN (SELECT id, count(*) AS nt FROM t GROUP BY id) z ON z.id = p.id GROUP BY p.id""",
@@ -215,11 +258,17 @@ s AS (SELECT count(*) AS n_trajectories, CAST(sum(np) AS BIGINT) AS n_points, CA
 a AS (SELECT count(DISTINCT (ix, iy)) AS active_cells FROM t)
 SELECT s.*, active_cells, {4 ** BITS} - active_cells AS empty_cells, round(n_points / n_tracklets, 6) AS points_per_tracklet, round(n_points / active_cells, 6) AS points_per_cell, round(n_points / n_trajectories, 6) AS points_per_trajectory FROM s, a""",
     "hilbert_cells": oracle.hilbert_sql(BITS),
-    **{k: _range_sql for k in QUERIES if k.startswith("range_") and "approx" not in k and "medium" not in k},
-    "range_brute_medium": oracle.range_sql(MEDIUM_EPS, "medium", None),
+    **{k: _range_sql for k in QUERIES if k.startswith("range_") and "approx" not in k and not k.endswith(LONG)},
+    **{k: oracle.range_sql(EPS_OF[f], f, None) for f in LONG for k in QUERIES if k.startswith("range_") and k.endswith(f)},
     **{f"range_approx_{k}_{v}": oracle.approx_sql(EPS, BITS, k) for k in LOCALS for v in ("v2", "v3")},
     **{f"funnel_{k}_{v}": oracle.funnel_sql(EPS, BITS, k, v) for k in LOCALS for v in ("v2", "v3")},
-    **{k: _knn_sql for k in QUERIES if k.startswith("knn_") and "customer" not in k},
+    **{k: _knn_sql for k in QUERIES if k.startswith("knn_") and not k.endswith(("customer", "walk"))},
+    **{k: oracle.knn_sql(K, "walk", None) for k in QUERIES if k.startswith("knn_") and k.endswith("walk")},
+    "funnel_xzshape": oracle.examined_sql(EPS, K, quadtree.G, quadtree.ALPHA, quadtree.BETA), "examined_knn_xzshape": oracle.examined_sql(None, K, quadtree.G, quadtree.ALPHA, quadtree.BETA),
+    "xz_code": oracle.home_sql(quadtree.G), "export_sample": oracle.sample_sql(1000), "export_parts": oracle.parts_sql(1000),
+    "query_text": f"WITH {oracle.points()}, s AS (SELECT id FROM p WHERE n <= 200 GROUP BY id ORDER BY md5('1:' || id), id LIMIT 1000) SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, round(sum(y), 6) AS sum_y FROM p JOIN s USING (id)",
+    "cell_window": f"{_with_runs}, w AS (SELECT {', '.join(f'greatest(0, least({2 ** BITS - 1}, CAST(floor(({v} - b{a}0) / (b{a}1 - b{a}0) * {2 ** BITS}) AS INT))) AS {n}' for v, a, n in zip(RECT, 'xyxy', ('a0', 'c0', 'a1', 'c1')))} FROM b) SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS n_points FROM t, w WHERE ix BETWEEN a0 AND a1 AND iy BETWEEN c0 AND c1",
+    "shape_window": oracle.window_sql(RECT, quadtree.G, quadtree.ALPHA, quadtree.BETA),
     "knn_brute_customer": oracle.knn_sql(K, "customer", 4),
     "batch_range": oracle.batch_sql(BATCH_EPS, BATCH_STEP),
     "shape_key": oracle.shape_sql(quadtree.G, quadtree.ALPHA, quadtree.BETA),

@@ -71,8 +71,14 @@ def segment_crosses_rect(a, b, rect) -> Column:
 def clip_range(a, b, rect) -> tuple[Column, Column]:
     """The parameters from which to which the segment a + t (b - a), 0 <= t <= 1, lies in the rectangle; empty if low > high."""
     (ax, ay), (bx, by) = _xy(a), _xy(b)
+    return clip_axes([(ax, bx, rect[0], rect[2]), (ay, by, rect[1], rect[3])])
+
+
+def clip_axes(axes: list[tuple]) -> tuple[Column, Column]:
+    """The same for any number of axes (start, end, least, most)."""
     low, high = F.lit(0.0), F.lit(1.0)
-    for start, step, least, most in ((ax, bx - ax, rect[0], rect[2]), (ay, by - ay, rect[1], rect[3])):
+    for start, end, least, most in axes:
+        step = end - start
         safe = F.nullif(step, F.lit(0.0))
         one, two = (least - start) / safe, (most - start) / safe
         inside = (start >= least) & (start <= most)
@@ -89,6 +95,64 @@ def clip_segment(a, b, rect) -> Column:
     return F.when(low <= high, F.struct(at(ax, bx, low).alias("x1"), at(ay, by, low).alias("y1"), at(ax, bx, high).alias("x2"), at(ay, by, high).alias("y2")))
 
 
+def clip_timed_segment(a: Column, b: Column, rect) -> Column:
+    """The part of a segment between points (x, y, t) inside a rectangle, with times on the line rounded to whole numbers: a struct
+    (x1, y1, t1, x2, y2, t2), null if there is none."""
+    low, high = clip_range(a, b, rect)
+    return F.when(low <= high, _between(a, b, low, high, lambda v: F.round(v).cast("long")))
+
+
+def _between(a: Column, b: Column, low: Column, high: Column, time) -> Column:
+    at = lambda k, t: a[k] + t * (b[k] - a[k])
+    return F.struct(*[(time(at(k, t)) if k == "t" else at(k, t)).alias(f"{k}{i}") for i, t in ((1, low), (2, high)) for k in ("x", "y", "t")])
+
+
+def _solid(a: Column, b: Column, box) -> list[tuple]:
+    return [(a[k].cast("double"), b[k].cast("double"), box[i], box[i + 3]) for i, k in enumerate(("x", "y", "t"))]
+
+
+def segment_crosses_box(a: Column, b: Column, box) -> Column:
+    """Does a segment between points (x, y, t) meet a box (min_x, min_y, min_t, max_x, max_y, max_t)?"""
+    low, high = clip_axes(_solid(a, b, box))
+    return low <= high
+
+
+def clip_solid_segment(a: Column, b: Column, box) -> Column:
+    """The part of a segment inside a box of space and time as a struct (x1, y1, t1, x2, y2, t2), null if there is none."""
+    low, high = clip_axes(_solid(a, b, box))
+    return F.when(low <= high, _between(a, b, low, high, lambda v: v))
+
+
+def legs(pts: str | Column) -> Column:
+    """The segments of a trajectory as an array of structs (a, b); none for fewer than two points."""
+    pts = F.col(pts) if isinstance(pts, str) else pts
+    return F.zip_with(F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))), F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def trajectory_crosses_rect(pts: str | Column, rect) -> Column:
+    """Does one of a trajectory's segments meet a rectangle?"""
+    return F.exists(legs(pts), lambda s: segment_crosses_rect(s["a"], s["b"], rect))
+
+
+def trajectory_near_rect(pts: str | Column, rect, eps: float) -> Column:
+    """Does one of a trajectory's segments come within eps of a rectangle?"""
+    return F.exists(legs(pts), lambda s: segment_rect(s["a"], s["b"], rect) <= F.lit(eps))
+
+
+def trajectory_minmax(pts: str | Column, rect) -> Column:
+    """The largest MINMAXDIST of a trajectory's points to a rectangle."""
+    return F.array_max(F.transform(pts, lambda p: point_rect_minmax(p, rect)))
+
+
+def intersection(a, b, c, d) -> Column:
+    """The point in which two segments cross as a struct (x, y); null if they share none, or lie on one line."""
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = _xy(a), _xy(b), _xy(c), _xy(d)
+    turn = F.nullif((bx - ax) * (dy - cy) - (by - ay) * (dx - cx), F.lit(0.0))
+    t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / turn
+    u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / turn
+    return F.when(t.between(0.0, 1.0) & u.between(0.0, 1.0), F.struct((ax + t * (bx - ax)).alias("x"), (ay + t * (by - ay)).alias("y")))
+
+
 def segment_rect(a, b, rect) -> Column:
     """Smallest distance from a segment to a rectangle, 0 if they meet."""
     corners = [F.struct(x.alias("x"), y.alias("y")) for x in (rect[0], rect[2]) for y in (rect[1], rect[3])]

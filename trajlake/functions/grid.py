@@ -85,6 +85,76 @@ def hilbert_column(ix: Column, iy: Column, bits: int) -> Column:
     return F.aggregate(sides, state, step)["d"]
 
 
+def hilbert_place(cell: Column, bits: int) -> Column:
+    """The ordinals (ix, iy) of a cell of the curve: the inverse of :func:`hilbert_column`."""
+    state = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), cell.cast("long").alias("d"))
+
+    def step(now: Column, s: Column) -> Column:
+        size = s.cast("long")
+        quarter = now["d"].bitwiseAND(F.lit(3))
+        rx = F.floor(quarter / 2)
+        ry = quarter.bitwiseXOR(rx).bitwiseAND(F.lit(1))
+        flip = (ry == 0) & (rx == 1)
+        x, y = F.when(flip, size - 1 - now["x"]).otherwise(now["x"]), F.when(flip, size - 1 - now["y"]).otherwise(now["y"])
+        tx, ty = F.when(ry == 0, y).otherwise(x), F.when(ry == 0, x).otherwise(y)
+        return F.struct((tx + size * rx).alias("x"), (ty + size * ry).alias("y"), F.floor(now["d"] / 4).alias("d"))
+
+    sides = F.array(*[F.lit(1 << b) for b in range(bits)]) if bits else F.array().cast("array<int>")
+    end = F.aggregate(sides, state, step)
+    return F.struct(end["x"].cast("int").alias("ix"), end["y"].cast("int").alias("iy"))
+
+
+def cells_in(grid: Grid, rect: tuple[float, float, float, float]) -> Column:
+    """Is the row's ``cell`` one of those that meet a rectangle?"""
+    near = [hilbert(ix, iy, grid.bits) for ix in range(grid.place(rect[0], "x"), grid.place(rect[2], "x") + 1) for iy in range(grid.place(rect[1], "y"), grid.place(rect[3], "y") + 1)]
+    return F.col("cell").isin(near)
+
+
+def quad_ranges(bounds: tuple[float, float, float, float], g: int, meets, holds, most: int | None = None, scale: float = 1.0) -> list[tuple[int, int]]:
+    """Half-open ranges, merged, of the codes of the quadrants that ``meets`` accepts, given as boxes (x0, y0, x1, y1) whose sides are
+    ``scale`` times the quadrant's; a quadrant that it refuses is not looked into. One that ``holds`` accepts counts with all
+    below it. With ``most``, quadrants are taken whole, level by level, once so many are found or waiting."""
+    width, height = bounds[2] - bounds[0], bounds[3] - bounds[1]
+    found: list[tuple[int, int]] = []
+    level, depth = [(0, 0.0, 0.0)], 0
+    while level:
+        w, following = 0.5**depth, []
+        whole = most is not None and len(found) + len(level) > most
+        for code, x, y in level:
+            x0, y0 = bounds[0] + x * width, bounds[1] + y * height
+            box = (x0, y0, x0 + scale * w * width, y0 + scale * w * height)
+            if not meets(box):
+                continue
+            if whole or holds(box):
+                found.append((code, code + subtree(g - depth + 1)))
+                continue
+            found.append((code, code + 1))
+            if depth < g:
+                following += [(code + 1 + q * subtree(g - depth), x + (q & 1) * w / 2, y + (q >> 1) * w / 2) for q in range(4)]
+        level, depth = following, depth + 1
+    return merged_ranges(found)
+
+
+def merged_ranges(ranges: list[tuple[int, int]], most: int | None = None) -> list[tuple[int, int]]:
+    """Half-open ranges in order, those that touch as one; with ``most``, the narrowest gaps are closed until so many are left."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    if most is not None and len(out) > most:
+        gaps = sorted(range(1, len(out)), key=lambda i: out[i][0] - out[i - 1][1], reverse=True)[: most - 1]
+        cuts = [0, *sorted(gaps), len(out)]
+        out = [(out[a][0], out[b - 1][1]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
+def ranges_of(keys: list[int], most: int | None = None) -> list[tuple[int, int]]:
+    """Exact keys as half-open ranges."""
+    return merged_ranges([(k, k + 1) for k in keys], most)
+
+
 def subtree(levels: int) -> int:
     """Quadrants of a subtree of so many levels, its root included."""
     return (4**levels - 1) // 3

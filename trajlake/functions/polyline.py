@@ -62,3 +62,38 @@ def boxes_apart(query_points: np.ndarray, query_boxes: np.ndarray, points: np.nd
     one = point_to_boxes(query_points, boxes).min(1).max() if len(boxes) else 0.0
     two = point_to_boxes(points, query_boxes).min(1).max() if len(query_boxes) else 0.0
     return max(one, two) > eps + slack
+
+
+def in_polygon(p: np.ndarray, polygon: np.ndarray) -> np.ndarray:
+    """Which of the points (n, 2) lie in a convex polygon (corners in order, either way round), its border included?"""
+    a, b = polygon, np.roll(polygon, -1, axis=0)
+    side = (b[None, :, 0] - a[None, :, 0]) * (p[:, None, 1] - a[None, :, 1]) - (b[None, :, 1] - a[None, :, 1]) * (p[:, None, 0] - a[None, :, 0])
+    return (side >= 0).all(1) | (side <= 0).all(1)
+
+
+def point_to_segments(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances (points, segments)."""
+    step = b - a
+    squared = (step**2).sum(1)
+    t = np.clip(((p[:, None] - a[None]) * step[None]).sum(2) / np.where(squared > 0, squared, 1), 0, 1)
+    foot = a[None] + t[..., None] * step[None]
+    return np.hypot(p[:, None, 0] - foot[..., 0], p[:, None, 1] - foot[..., 1])
+
+
+def segment_to_polygon(a: np.ndarray, b: np.ndarray, polygon: np.ndarray) -> float:
+    """Distance from a segment to a convex polygon; 0 if they meet."""
+    c, d = polygon, np.roll(polygon, -1, axis=0)
+    if in_polygon(np.array([a, b]), polygon).any():
+        return 0.0
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    turn = cross(b - a, d - c)
+    safe = np.where(turn != 0, turn, 1)
+    t, u = cross(c - a, d - c) / safe, cross(c - a, b - a) / safe
+    if ((turn != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)).any():
+        return 0.0
+    return float(min(point_to_segments(np.array([a, b]), c, d).min(), point_to_segments(polygon, a[None], b[None]).min()))
+
+
+def box_to_boxes(box: np.ndarray, boxes: np.ndarray) -> float:
+    """The largest, over the four edges of a box (4, 2), of the smallest distance to a set of boxes (n, 4, 2)."""
+    return max(min(segment_to_polygon(a, b, other) for other in boxes) for a, b in zip(box, np.roll(box, -1, axis=0), strict=True))

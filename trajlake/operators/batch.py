@@ -33,7 +33,7 @@ def batch_range(layout: Layout, queries: DataFrame, eps: float) -> DataFrame:
     sides = ["min_x", "min_y", "max_x", "max_y"]
     if eps < 0:
         return queries.select("qid").crossJoin(layout.whole.select("id").limit(0)).where("false")
-    ends = lambda p: (F.get(p, F.lit(0)), F.element_at(p, -1))
+    ends = lambda p: (F.get(p, F.lit(0)), F.try_element_at(p, F.lit(-1)))
     own = layout.whole.select("id", T.xs("pts").alias("_x"), T.ys("pts").alias("_y"), *sides, *[e.alias(n) for n, e in zip(("_p1", "_pn"), ends(F.col("pts")), strict=True)])
     asked = queries.where(F.size("pts") > 0).select("qid", T.xs("pts").alias("_u"), T.ys("pts").alias("_v"), *[e.alias(n) for n, e in zip(("_q1", "_qm"), ends(F.col("pts")), strict=True)])
     bound = {"_qa": F.array_min("_u"), "_qb": F.array_min("_v"), "_qc": F.array_max("_u"), "_qd": F.array_max("_v")}

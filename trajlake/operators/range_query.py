@@ -6,11 +6,13 @@ tracklets, and where it stops (exact, approximate, or counters of each step).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frechet import frechet_within
-from ..functions.geometry import any_of, nearest_to_query, rect_to_query, within
+from ..functions.geometry import FEW, any_of, nearest_to_query, rect_to_query, within
 from ..plans.predicates import Query, box_of, overlaps, pushdown, query_cells
 from ..sources.layout import Layout
 from . import trajectories as T
@@ -35,7 +37,11 @@ def local_filter(kind: str, query: Query, eps: float) -> Column:
 
 def gap_filter(cells: list[set[int]]) -> Column:
     """Each vertex has a cell near it that the trajectory visits; not asked of trajectories of one tracklet."""
-    missed = [~F.arrays_overlap("cells", F.array(*[F.lit(c).cast("long") for c in sorted(own)])) if own else F.lit(True) for own in cells]
+    asked = sorted({tuple(sorted(own)) for own in cells})
+    if len(asked) > FEW:  # one folded literal, so that the plan stays small
+        every = F.from_json(F.lit(json.dumps(asked)), "array<array<bigint>>")
+        return (F.col("n_tracklets") == 1) | F.forall(every, lambda own: F.arrays_overlap(own, F.col("cells")))
+    missed = [~F.arrays_overlap("cells", F.array(*[F.lit(c).cast("long") for c in own])) if own else F.lit(True) for own in asked]
     return (F.col("n_tracklets") == 1) | ~any_of(missed)
 
 
@@ -67,6 +73,20 @@ def range_query(layout: Layout, query: Query, eps: float, variant: str = "v2", l
     return (exact(candidates, query, eps) if is_exact else candidates).select("id", "n_points")
 
 
+def near_tracklets(layout: Layout, query: Query, eps: float, local: str) -> DataFrame:
+    """Tracklets, of the cells near the query only, that pass the box, endpoint and local filters."""
+    every = sorted(set().union(*query_cells(layout.grid, query, eps)))
+    scan = layout.tracks.where(F.col("cell").isin(every) if every else F.lit(False))
+    return scan.where(overlaps(box_of(query), eps)).where(endpoint_filter(query, eps)).where(local_filter(local, query, eps))
+
+
+def candidate_ids(layout: Layout, query: Query, eps: float, local: str = "mbr") -> DataFrame:
+    """Ids of the trajectories all of whose tracklets pass, from metadata without points."""
+    meta = near_tracklets(layout, query, eps, local)
+    grouped = meta.groupBy("id").agg(F.min("seq_start").alias("_first"), F.max("seq_end").alias("_end"), F.bool_or("is_last").alias("_last"), F.sum("n_points").alias("_n"))
+    return grouped.where("_first = 1 and _last and _n = _end").select("id")
+
+
 def two_phase(layout: Layout, query: Query, eps: float, local: str = "mbr") -> DataFrame:
     """(id, n_points): candidates from tracklet metadata without points, then whole trajectories by a semi join on the id.
 
@@ -74,11 +94,7 @@ def two_phase(layout: Layout, query: Query, eps: float, local: str = "mbr") -> D
     """
     if not query or eps < 0:
         return layout.whole.select("id", "n_points").where("false")
-    every = sorted(set().union(*query_cells(layout.grid, query, eps)))
-    meta = layout.tracks.where(F.col("cell").isin(every)).where(overlaps(box_of(query), eps)).where(endpoint_filter(query, eps)).where(local_filter(local, query, eps))
-    grouped = meta.groupBy("id").agg(F.min("seq_start").alias("_first"), F.max("seq_end").alias("_end"), F.bool_or("is_last").alias("_last"), F.sum("n_points").alias("_n"))
-    ids = grouped.where("_first = 1 and _last and _n = _end").select("id")
-    return exact(layout.whole.join(ids, "id", "left_semi"), query, eps).select("id", "n_points")
+    return exact(layout.whole.join(candidate_ids(layout, query, eps, local), "id", "left_semi"), query, eps).select("id", "n_points")
 
 
 def funnel(layout: Layout, query: Query, eps: float, variant: str = "v2", local: str = "dist") -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import any_of, distance, nearest_to_query
-from ..functions.grid import code_column, home_digits, occupancy, subtree
+from ..functions.geometry import any_of, nearest_to_query
+from ..functions.grid import code_column, home_digits, occupancy, quad_ranges
 from ..plans.predicates import Query, box_of, inside
 from ..sources.layout import Layout
 from . import trajectories as T
-from .knn import rank
-from .quadtree import G, space
+from .knn import nearest, rank
+from .quadtree import G, rect_near, space
 from .range_query import endpoint_filter, exact
 
 ROWS, COLS = 3, 3
@@ -38,30 +38,12 @@ def write_segments(layout: Layout) -> Layout:
     return layout
 
 
-def key_ranges(box: tuple[float, float, float, float], bounds: tuple[float, float, float, float], g: int = G) -> list[tuple[int, int]]:
-    """Half-open ranges of the codes of all quadrants whose enlarged box (its upper sides doubled) meets ``box``."""
-    width, height = bounds[2] - bounds[0], bounds[3] - bounds[1]
-    found: list[tuple[int, int]] = []
-    todo = [(0, 0, 0.0, 0.0, 1.0)]
-    while todo:
-        code, depth, x, y, w = todo.pop()
-        x0, y0 = bounds[0] + x * width, bounds[1] + y * height
-        if x0 > box[2] or y0 > box[3] or x0 + 2 * w * width < box[0] or y0 + 2 * w * height < box[1]:
-            continue
-        if x0 >= box[0] and y0 >= box[1] and x0 + 2 * w * width <= box[2] and y0 + 2 * w * height <= box[3]:
-            found.append((code, code + subtree(g - depth + 1)))  # the whole subtree lies inside
-            continue
-        found.append((code, code + 1))
-        if depth < g:
-            half = w / 2
-            todo += [(code + 1 + q * subtree(g - depth), depth + 1, x + (q & 1) * half, y + (q >> 1) * half, half) for q in range(4)]
-    merged: list[tuple[int, int]] = []
-    for lo, hi in sorted(found):
-        if merged and lo <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-        else:
-            merged.append((lo, hi))
-    return merged
+def key_ranges(box: tuple[float, float, float, float], bounds: tuple[float, float, float, float], g: int = G, most: int | None = None) -> list[tuple[int, int]]:
+    """Half-open ranges of the codes of all quadrants whose enlarged box (its upper sides doubled) meets ``box``; about ``most``
+    of them, and then of more quadrants, if that is given."""
+    meets = lambda q: q[0] <= box[2] and q[1] <= box[3] and q[2] >= box[0] and q[3] >= box[1]
+    holds = lambda q: q[0] >= box[0] and q[1] >= box[1] and q[2] <= box[2] and q[3] <= box[3]
+    return quad_ranges(bounds, g, meets, holds, most, scale=2.0)
 
 
 def in_ranges(ranges: list[tuple[int, int]]) -> Column:
@@ -73,18 +55,14 @@ def in_ranges(ranges: list[tuple[int, int]]) -> Column:
 def signature_near(query: Query, eps: float) -> Column:
     """Is each visited part of the segment's box within eps of a vertex of the query?"""
     w, h = (F.col("max_x") - F.col("min_x")) / COLS, (F.col("max_y") - F.col("min_y")) / ROWS
-    ok = F.lit(True)
-    for r in range(ROWS):
-        for c in range(COLS):
-            x, y = F.col("min_x") + w * c, F.col("min_y") + h * r
+    parts = F.sequence(F.lit(0), F.lit(ROWS * COLS - 1))
 
-            def near(q, x=x, y=y) -> Column:
-                dx = F.greatest(x - F.lit(q[0]), F.lit(0.0), F.lit(q[0]) - x - w)
-                dy = F.greatest(y - F.lit(q[1]), F.lit(0.0), F.lit(q[1]) - y - h)
-                return F.sqrt(dx * dx + dy * dy) <= F.lit(eps + 1e-9)
+    def near(i: Column) -> Column:
+        x, y = F.col("min_x") + w * (i % COLS), F.col("min_y") + h * F.floor(i / COLS)
+        visited = F.call_function("shiftright", F.col("signature"), i).bitwiseAND(F.lit(1)) == 1
+        return ~visited | rect_near(x, y, w, h, query, eps)
 
-            ok &= (F.col("signature").bitwiseAND(1 << (r * COLS + c)) == 0) | any_of([near(q) for q in query])
-    return ok
+    return F.forall(parts, near)
 
 
 def candidates(layout: Layout, query: Query, eps: float) -> DataFrame:
@@ -106,11 +84,8 @@ def range_query(layout: Layout, query: Query, eps: float) -> DataFrame:
 
 
 def knn(layout: Layout, query: Query, k: int) -> DataFrame:
-    """The k nearest: a threshold from the nearest ends, then candidates within it, ranked; one job for all candidates."""
+    """The k nearest: candidates within a radius that grows until it holds k, from the metadata, then their points."""
     if not query or k <= 0:
         return rank(T.reassemble(layout.segments.where("false")), query or [(0.0, 0.0)], 0)
-    ends = F.greatest(F.when(F.col("seq_start") == 1, distance(F.col("first_pt"), query[0])).otherwise(0.0), F.when(F.col("is_last"), distance(F.col("last_pt"), query[-1])).otherwise(0.0))
-    first = layout.segments.groupBy("id").agg(F.max(ends).alias("_bound")).orderBy("_bound", "id").limit(k)
-    row = rank(T.reassemble(layout.segments.join(first, "id", "left_semi")), query, k).agg(F.max("frechet"), F.count(F.lit(1))).first()
-    near = layout.segments if row[1] < k else layout.segments.join(candidates(layout, query, row[0]), "id", "left_semi")
-    return rank(T.reassemble(near), query, k)
+    found = lambda eps: T.reassemble(layout.segments.join(candidates(layout, query, eps), "id", "left_semi"))
+    return nearest(found, layout, query, k)

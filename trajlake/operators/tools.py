@@ -51,6 +51,29 @@ def stage_metrics(spark: SparkSession, event_log: str) -> DataFrame:
     return stages.join(sums, "stage_id", "left").na.fill(0)
 
 
+def job_metrics(spark: SparkSession, event_log: str, jobs: int = 1) -> DataFrame:
+    """The metrics of :func:`stage_metrics` summed for each run of ``jobs`` jobs in their order: query (from 0), stages and the rest.
+
+    A stage that several jobs name counts for the first of them.
+    """
+    lines = spark.read.text(event_log)
+    at = lambda path: F.get_json_object("value", path)
+    starts = lines.where(at("$.Event") == "SparkListenerJobStart").select(at("$['Job ID']").cast("long").alias("job"), F.from_json(at("$['Stage IDs']"), "array<int>").alias("ids"))
+    of_stage = starts.select("job", F.explode("ids").alias("stage_id")).groupBy("stage_id").agg(F.min("job").alias("job"))
+    joined = stage_metrics(spark, event_log).join(of_stage, "stage_id")
+    sums = [F.sum(c).alias(c) for c in ("seconds", "input_bytes", "shuffle_local_bytes", "shuffle_remote_bytes", "shuffle_write_bytes")]
+    return joined.groupBy(F.floor(F.col("job") / jobs).alias("query")).agg(F.count(F.lit(1)).alias("stages"), *sums)
+
+
+def merge_stages(results: DataFrame, metrics: DataFrame, stages: int, on: str = "query") -> DataFrame:
+    """Per-query results with the seconds of each of a query's stages, in order, in columns stage_1 to stage_n; ``metrics`` has
+    (query, stage_id, seconds)."""
+    seconds = F.transform(F.array_sort(F.collect_list(F.struct("stage_id", "seconds"))), lambda s: s["seconds"])
+    own = metrics.groupBy(on).agg(seconds.alias("_seconds"))
+    wide = own.select(on, *[F.get("_seconds", F.lit(i)).alias(f"stage_{i + 1}") for i in range(stages)])
+    return results.join(wide, on, "left")
+
+
 def sum_in_log(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One row (total): the sum of the numbers that stand after ``name`` and an = or : in a text log."""
     number = F.regexp_extract("value", rf"\Q{name}\E\s*[=:]\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.grid import PAD, Grid, hilbert_column
 
@@ -19,13 +20,13 @@ def ys(pts: str | Column) -> Column:
 
 
 def build_trajectories(points: DataFrame, min_points: int = 2) -> DataFrame:
-    """(id, pts, n_points, min_x, min_y, max_x, max_y): points ordered by (t, x, y), duplicates kept, shorter objects dropped."""
+    """(id, pts, n_points, min_x, min_y, max_x, max_y): points (x, y, t) ordered by (t, x, y), duplicates kept, shorter objects dropped."""
     sound = points.where("id is not null and x is not null and y is not null and t is not null")
     grouped = sound.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("_pts"),
         *[f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")],
     )
-    pts = F.transform("_pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    pts = F.transform("_pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["t"].alias("t")))
     return grouped.where(F.size("_pts") >= min_points).select("id", pts.alias("pts"), F.size("_pts").cast("long").alias("n_points"), *RECT)
 
 
@@ -34,9 +35,13 @@ def bounds(trajectories: DataFrame) -> tuple[float, float, float, float] | None:
     return None if row[0] is None else tuple(float(v) for v in row)
 
 
-def make_grid(trajectories: DataFrame, bits: int) -> Grid:
-    """A grid over the data's bounds; an empty input gives the unit square."""
-    b = bounds(trajectories) or (0.0, 0.0, 1.0, 1.0)
+#: Longitudes and latitudes of the whole world.
+WORLD = (-180.0, -90.0, 180.0, 90.0)
+
+
+def make_grid(trajectories: DataFrame, bits: int, whole_world: bool = False) -> Grid:
+    """A grid over the data's bounds, or the whole world; an empty input gives the unit square."""
+    b = WORLD if whole_world else bounds(trajectories) or (0.0, 0.0, 1.0, 1.0)
     return Grid(bits, b[0], b[1], b[2] + PAD, b[3] + PAD)
 
 
@@ -45,7 +50,7 @@ def _pivots(pts: Column, rect: list[Column]):
     cx, cy = (rect[0] + rect[2]) / 2, (rect[1] + rect[3]) / 2
 
     def best(x: Column, y: Column, sign: int) -> Column:
-        ranked = F.transform(pts, lambda p, i: F.struct((sign * F.sqrt((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y))).alias("d"), i.alias("i"), p.alias("p")))
+        ranked = F.transform(pts, lambda p, i: F.struct((sign * F.sqrt((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y))).alias("d"), i.alias("i"), F.struct(p["x"].alias("x"), p["y"].alias("y")).alias("p")))
         return F.array_min(ranked)["p"]
 
     medoid = best(cx, cy, 1)
@@ -58,7 +63,7 @@ def tracklets(trajectories: DataFrame, grid: Grid) -> DataFrame:
 
     The runs are cut inside each trajectory's array, so nothing is shuffled. A trajectory is one object's points.
     """
-    placed = F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), grid.ordinal(p["x"], "x").alias("ix"), grid.ordinal(p["y"], "y").alias("iy")))
+    placed = F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["t"].alias("t"), grid.ordinal(p["x"], "x").alias("ix"), grid.ordinal(p["y"], "y").alias("iy")))
     df = trajectories.select("id", "n_points", placed.alias("_p"))
     new = lambda p, i: (i == 0) | (p["ix"] != F.get("_p", i - 1)["ix"]) | (p["iy"] != F.get("_p", i - 1)["iy"])
     starts = F.filter(F.transform("_p", lambda p, i: F.when(new(p, i), i)), lambda i: i.isNotNull())
@@ -75,7 +80,7 @@ def tracklets(trajectories: DataFrame, grid: Grid) -> DataFrame:
         F.col("_r.e").cast("long").alias("seq_end"),
         (F.col("_r.e") == F.col("_total")).alias("is_last"),
         F.size("_q").cast("long").alias("n_points"),
-        F.transform("_q", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"),
+        F.transform("_q", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["t"].alias("t"))).alias("pts"),
         pick(F.array_min, "x").alias("min_x"), pick(F.array_min, "y").alias("min_y"), pick(F.array_max, "x").alias("max_x"), pick(F.array_max, "y").alias("max_y"),
     )
     medoid, best = _pivots(F.col("pts"), [F.col(c) for c in RECT])
@@ -98,19 +103,31 @@ def reassemble(tracks: DataFrame, *extra: Column) -> DataFrame:
     return whole.withColumn("pts", F.flatten(F.transform("_parts", lambda r: r["pts"]))).drop("_first", "_end", "_last", "_parts")
 
 
+def _order(seed: int) -> list[Column]:
+    """A seeded order of ids that any engine with MD5 can repeat."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), F.col("id")]
+
+
 def sample_whole(trajectories: DataFrame, n: int, most_points: int = 200, seed: int = 1) -> DataFrame:
     """n trajectories of at most ``most_points`` points in the order of a seeded hash of their ids."""
-    return trajectories.where(F.col("n_points") <= most_points).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    return trajectories.where(F.col("n_points") <= most_points).orderBy(*_order(seed)).limit(n)
 
 
 def sample_parts(trajectories: DataFrame, n: int, points: int = 30, seed: int = 1) -> DataFrame:
     """n runs of exactly ``points`` points, one of each sampled trajectory that has as many, at a seeded offset."""
-    long_enough = trajectories.where(F.col("n_points") >= points).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
-    offset = F.pmod(F.xxhash64(F.lit(seed), "id", F.lit("offset")), F.col("n_points") - points + 1).cast("int")
+    long_enough = trajectories.where(F.col("n_points") >= points).orderBy(*_order(seed)).limit(n)
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"), F.lit(":offset"))), 1, 8), 16, 10).cast("long")
+    offset = F.pmod(drawn, F.col("n_points") - points + 1).cast("int")
     return long_enough.select("id", F.slice("pts", offset + 1, points).alias("pts"), F.lit(points).cast("long").alias("n_points"))
 
 
+def epoch_millis(t: Column, of: T.DataType) -> Column:
+    """Milliseconds since 1970 of a timestamp; one without a time zone counts as UTC."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t) if isinstance(of, T.TimestampNTZType) else F.unix_millis(t)
+
+
 def as_query_lines(trajectories: DataFrame) -> DataFrame:
-    """A column ``value`` of lines ``x,y,0;`` for ``write.text``."""
-    point = lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"), F.lit("0"))
+    """A column ``value`` of lines ``x,y,epochMs;`` for ``write.text``."""
+    kind = trajectories.schema["pts"].dataType.elementType["t"].dataType
+    point = lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"), epoch_millis(p["t"], kind).cast("string"))
     return trajectories.select(F.concat(F.array_join(F.transform("pts", point), ";"), F.lit(";")).alias("value"))

@@ -9,7 +9,7 @@ def points(fixture: str = "short", n_query: int | None = 4) -> str:
     """CTEs p (points with their place i and count n), q (query vertices), qn (their number)."""
     pick = f"WHERE n = {n_query}" if n_query else ""
     return f"""raw AS ({FIXTURES[fixture]}),
-p0 AS (SELECT id, x, y, row_number() OVER (PARTITION BY id ORDER BY t, x, y) AS i, count(*) OVER (PARTITION BY id) AS n FROM raw),
+p0 AS (SELECT id, x, y, t AS ts, row_number() OVER (PARTITION BY id ORDER BY t, x, y) AS i, count(*) OVER (PARTITION BY id) AS n FROM raw),
 p AS (SELECT * FROM p0 WHERE n >= 2),
 q AS (SELECT i AS j, x AS qx, y AS qy FROM p WHERE id = (SELECT min(id) FROM p {pick})),
 qn AS (SELECT max(j) AS m FROM q),
@@ -143,6 +143,48 @@ SELECT t.id, t.s AS seq_start, CASE WHEN s = 1 AND last THEN 3 WHEN s = 1 THEN 0
 FROM t JOIN m USING (id, run) JOIN home ON home.a1 = t.id AND home.a2 = t.run"""
 
 
+def examined_sql(eps: float | None, k: int, g: int, alpha: int, beta: int, fixture: str = "short", n_query: int | None = 4) -> str:
+    """Records whose visited sub-cells all lie near the query, those whose ends do too, and those within eps; without eps, within the k-th distance."""
+    reach = "(SELECT max(frechet) FROM (SELECT frechet FROM f ORDER BY frechet, id LIMIT " + str(k) + "))" if eps is None else str(eps)
+    return f"""WITH RECURSIVE {points(fixture, n_query)}, {EXACT}, tau AS (SELECT {reach} AS e),
+box AS (SELECT id AS a1, 0 AS a2, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p GROUP BY id), {codes('box', g)},
+z AS (SELECT a1 AS id, sx + hx * sw AS zx, sy + hy * sh AS zy, w * sw AS zw, w * sh AS zh FROM home, bb),
+m AS (SELECT DISTINCT p.id, greatest(0, least({alpha - 1}, CAST(floor((y - zy) / zh * {alpha}) AS INT))) AS r, greatest(0, least({beta - 1}, CAST(floor((x - zx) / zw * {beta}) AS INT))) AS c FROM p JOIN z USING (id)),
+v AS (SELECT id, r, c, min(sqrt(power(greatest(zx + c * (zw / {beta}) - qx, 0, qx - zx - (c + 1) * (zw / {beta})), 2) + power(greatest(zy + r * (zh / {alpha}) - qy, 0, qy - zy - (r + 1) * (zh / {alpha})), 2))) AS nd FROM m JOIN z USING (id), q GROUP BY id, r, c),
+ok AS (SELECT id FROM v GROUP BY id HAVING max(nd) <= (SELECT e FROM tau) + 1e-9),
+ends AS (SELECT d.id, max(CASE WHEN d.i = 1 AND d.j = 1 THEN d END) AS f1, max(CASE WHEN d.i = d.n AND d.j = (SELECT m FROM qn) THEN d END) AS fn FROM d GROUP BY d.id)
+SELECT count(*) AS loaded, count(*) FILTER (greatest(f1, fn) <= e) AS after_endpoints, count(*) FILTER (greatest(f1, fn) <= e AND frechet <= e) AS after_exact FROM ok JOIN ends USING (id) JOIN f USING (id), tau"""
+
+
+def home_sql(g: int) -> str:
+    return f"""WITH RECURSIVE {points()}, box AS (SELECT id AS a1, 0 AS a2, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p GROUP BY id), {codes('box', g)}
+SELECT a1 AS id, code, level FROM home"""
+
+
+def window_sql(rect: tuple[float, float, float, float], g: int, alpha: int, beta: int) -> str:
+    """Trajectories whose home quadrant meets a window, and those with a point in a sub-cell that does."""
+    x0, y0, x1, y1 = rect
+    return f"""WITH RECURSIVE {points()}, box AS (SELECT id AS a1, 0 AS a2, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p GROUP BY id), {codes('box', g)},
+z AS (SELECT a1 AS id, sx + hx * sw AS zx, sy + hy * sh AS zy, w * sw AS zw, w * sh AS zh FROM home, bb),
+m AS (SELECT DISTINCT p.id, greatest(0, least({alpha - 1}, CAST(floor((y - zy) / zh * {alpha}) AS INT))) AS r, greatest(0, least({beta - 1}, CAST(floor((x - zx) / zw * {beta}) AS INT))) AS c FROM p JOIN z USING (id)),
+v AS (SELECT id, zx + c * (zw / {beta}) AS cx, zy + r * (zh / {alpha}) AS cy, zw / {beta} AS cw, zh / {alpha} AS ch FROM m JOIN z USING (id))
+SELECT (SELECT count(*) FROM z WHERE zx <= {x1} AND zx + zw >= {x0} AND zy <= {y1} AND zy + zh >= {y0}) AS n_window,
+  (SELECT count(DISTINCT id) FROM v WHERE cx <= {x1} AND cx + cw >= {x0} AND cy <= {y1} AND cy + ch >= {y0}) AS n_visiting"""
+
+
+_LINE = "string_agg(x || ',' || y || ',' || epoch_us(ts) // 1000, ';' ORDER BY i) || ';' AS value"
+
+
+def sample_sql(n: int, most_points: int = 200, seed: int = 1) -> str:
+    return f"""WITH {points()}, s AS (SELECT id FROM p WHERE n <= {most_points} GROUP BY id ORDER BY md5('{seed}:' || id), id LIMIT {n})
+SELECT {_LINE} FROM p JOIN s USING (id) GROUP BY id"""
+
+
+def parts_sql(n: int, length: int = 30, seed: int = 1) -> str:
+    return f"""WITH {points('medium', None)}, s AS (SELECT id, CAST('0x' || substr(md5('{seed}:' || id || ':offset'), 1, 8) AS BIGINT) % (any_value(n) - {length} + 1) AS o FROM p WHERE n >= {length} GROUP BY id ORDER BY md5('{seed}:' || id), id LIMIT {n})
+SELECT {_LINE} FROM p JOIN s USING (id) WHERE i > o AND i <= o + {length} GROUP BY id"""
+
+
 def hilbert_sql(bits: int) -> str:
     return f"""WITH RECURSIVE h AS (SELECT CAST(a.range AS INT) AS ix, CAST(b.range AS INT) AS iy, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y, {1 << bits >> 1} AS s, CAST(0 AS BIGINT) AS d FROM range({1 << bits}) a, range({1 << bits}) b
   UNION ALL SELECT ix, iy, CASE WHEN ry = 1 THEN lx WHEN rx = 1 THEN s - 1 - ly ELSE ly END, CASE WHEN ry = 1 THEN ly WHEN rx = 1 THEN s - 1 - lx ELSE lx END, s // 2, d + CAST(s AS BIGINT) * s * xor(3 * rx, ry)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -13,18 +15,24 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
 from ..operators import trajectories as T
+from ..operators.tools import load_stats
 
 _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir``, which driver and executors share. Only a session within one process may leave it unset, as in tests;
+    it gets a folder of its own. On a cluster that is an error."""
     global _own_folder
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="trajlake-")
+        folder = tempfile.mkdtemp(prefix="trajlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder = "file://" + folder
     return _own_folder
 
 
@@ -65,6 +73,11 @@ class Layout:
     def shapes(self) -> DataFrame:
         return self._read("shapes")
 
+    @cached_property
+    def shape_keys(self) -> DataFrame:
+        """The keys that records have, with their quadrants' boxes and numbers of records."""
+        return self._read("shape_keys")
+
     @cached_property
     def segments(self) -> DataFrame:
         return self._read("segments")
@@ -77,9 +90,15 @@ def write_trajectories(trajectories: DataFrame, path: str, bits: int) -> Layout:
     whole = spark.read.parquet(f"{path}/whole")
     grid = T.make_grid(whole, bits)
     tracks = T.tracklets(whole, grid)
-    tracks.repartition("cell").sortWithinPartitions("cell", "min_x").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-    write_metadata(spark, path, grid)
-    return Layout(spark, path, grid)
+    tracks.repartitionByRange("cell", "min_x").sortWithinPartitions("cell", "min_x").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    stored = Layout(spark, path, grid)
+    write_metadata(spark, path, grid, **load_stats(stored.whole, stored.tracks, bits).first().asDict(), files=stored_files(spark, f"{path}/cells"))
+    return stored
+
+
+def stored_files(spark: SparkSession, path: str) -> int:
+    """How many data files a stored table has."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path").count()
 
 
 def write_flat(layout: Layout) -> Layout:
@@ -89,6 +108,7 @@ def write_flat(layout: Layout) -> Layout:
 
 
 def write_metadata(spark: SparkSession, path: str, grid: Grid, **stats: float) -> None:
+    """The space and the statistics of the load as one line of JSON."""
     text = json.dumps({"grid": grid.as_dict(), "stats": stats})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
@@ -98,6 +118,11 @@ def open_layout(spark: SparkSession, path: str) -> Layout:
     return Layout(spark, path, Grid(**json.loads(text)["grid"]))
 
 
+def read_stats(spark: SparkSession, path: str) -> dict[str, float]:
+    """The statistics that were written with a layout."""
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{path}/metadata").collect()))["stats"]
+
+
 def present_cells(layout: Layout) -> DataFrame:
     return layout.tracks.select("cell").distinct()
 
