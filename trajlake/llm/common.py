@@ -108,3 +108,15 @@ def bitmap_marked(df: DataFrame, bits: DataFrame, slot: Column, flag: str) -> Da
     bit = F.expr(f"cast(pmod(bitmap_bit_position({flag}_slot), 8) as int)")
     hit = F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     return joined.withColumn(flag, hit).drop(f"{flag}_slot", f"{flag}_bucket", f"{flag}_bits")
+
+
+def parted(docs: DataFrame, keys: DataFrame, slot: Column, key_slot: Column) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: the rows that no row of ``keys`` can match, and the others, told apart by a bitmap of fixed size.
+
+    Only the others have to move for a join with the keys. Columns may have any names.
+    """
+    flag = "_maybe"
+    while any(c.lower().startswith(flag) for c in docs.columns):
+        flag = "_" + flag
+    told = bitmap_marked(docs, bitmap(keys, key_slot), slot, flag)
+    return told.where(~F.col(flag)).drop(flag), told.where(flag).drop(flag)

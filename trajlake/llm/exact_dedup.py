@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, ascii_lower, bitmap, bitmap_marked, bitmap_slot, text_or_empty, unused_names, written
+from .common import BITMAP_BITS, ascii_lower, bitmap, bitmap_marked, bitmap_slot, parted, text_or_empty, unused_names, written
 
 PREFIX_CHARS = 256
 
@@ -75,7 +75,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = written(known.groupBy("_id", "_full").agg(F.max("_keep").alias("_keep"), F.count(F.lit(1)).alias("_n")), "exact-copies")
     dropped = known.where("not (_id <=> _keep)").select(F.col("_id").alias(id_), F.col("_full").alias(full))
     own = F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)), 256))
-    out = docs.join(dropped, F.col(id_col).eqNullSafe(F.col(id_)) & (own == F.col(full)), "left_anti")
+    stay, near = parted(docs, dropped, bitmap_slot(F.xxhash64(F.col(id_col)), BITMAP_BITS), bitmap_slot(F.xxhash64(F.col(id_)), BITMAP_BITS))
+    out = stay.unionByName(near.join(dropped, F.col(id_col).eqNullSafe(F.col(id_)) & (own == F.col(full)), "left_anti"))
     several = known.where("_id <=> _keep and _n > 1").select(F.col("_id").alias(id_), F.col("_full").alias(full))
     if several.isEmpty():
         return out

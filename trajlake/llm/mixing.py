@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import release, text_or_empty, unused_names, written
+from .common import BITMAP_BITS, bitmap_slot, parted, release, text_or_empty, unused_names, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -193,19 +193,21 @@ def mix(
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options) -> DataFrame:
     """``docs`` with each row as often as :func:`mix` takes it (0, 1 or 2 times); columns unchanged.
 
-    Rows that are equal in id, source and text are numbered, and what the mix takes of them is dealt out to them evenly. Null
+    Only rows that are not taken just once move. Rows that are equal in id, source and text are numbered, and what the mix takes of
+    them is dealt out to them evenly. Null
     ids, sources and texts are treated as in :func:`mix`. Columns may have any names. An empty table gives no rows.
     """
     hash_, id_, total, rows, number, copy = unused_names(docs.columns, "_taken_hash", "_taken_id", "_taken", "_rows", "_number", "_copy")
     taken = mix(docs, id_col, text_col, source_col, seed=seed, keys=True, **options).groupBy("_hash", "_id").agg(F.sum("times").cast("int").alias(total), F.count(F.lit(1)).alias(rows))
-    taken = written(taken.where(F.col(total) > 0).withColumnsRenamed({"_hash": hash_, "_id": id_}), "mix-taken")
+    other = written(taken.where(F.col(total) != F.col(rows)).withColumnsRenamed({"_hash": hash_, "_id": id_}), "mix-other")
     own = row_hash(id_col, text_col, source_col, seed)
     same = (own == F.col(hash_)) & F.col(id_col).eqNullSafe(F.col(id_))
-    again = lambda df, times: df.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
-    once = again(docs.join(taken.where(F.col(rows) == 1), same), F.col(total))
-    several = taken.where(F.col(rows) > 1)
-    if several.isEmpty():
-        return once
-    numbered = docs.join(several, same).withColumn(number, F.row_number().over(Window.partitionBy(hash_, id_).orderBy(hash_)))
-    times = F.floor(F.col(total) / F.col(rows)).cast("int") + (F.col(number) <= F.col(total) % F.col(rows)).cast("int")
-    return once.unionByName(again(numbered.withColumn(total, times).where(F.col(total) > 0), F.col(total)))
+    once, near = parted(docs, other, bitmap_slot(own, BITMAP_BITS), bitmap_slot(F.col(hash_), BITMAP_BITS))
+    told = near.join(other, same, "left")
+    again = lambda df, times: df.withColumn(total, times).where(F.col(total) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(total)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = once.unionByName(again(told.where(F.coalesce(F.col(rows), F.lit(1)) == 1), F.coalesce(F.col(total), F.lit(1))))
+    if other.where(F.col(rows) > 1).isEmpty():
+        return out
+    numbered = told.where(F.col(rows) > 1).withColumn(number, F.row_number().over(Window.partitionBy(hash_, id_).orderBy(hash_)))
+    share = F.floor(F.col(total) / F.col(rows)).cast("int") + (F.col(number) <= F.col(total) % F.col(rows)).cast("int")
+    return out.unionByName(again(numbered, share))

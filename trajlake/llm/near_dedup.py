@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap, bitmap_marked, bitmap_slot, release, text_or_empty, unused_names, written
+from .common import BITMAP_BITS, bitmap, bitmap_marked, bitmap_slot, parted, release, text_or_empty, unused_names, written
 from .components import connected_components
 
 #: 40 bands of 6 values (minimum and maximum under three permutations): documents of similarity 0.8 share no band once in
@@ -256,7 +256,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = written(judged.where(F.col(id_).isNotNull()).groupBy(id_).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near-judged")
     dropped, several = judged.where("not kept").select(id_), judged.where("kept and n > 1").select(id_)
     same = F.col(id_col).cast("long") == F.col(id_)
-    out = docs.join(dropped, same, "left_anti")
+    stay, near = parted(docs, dropped, bitmap_slot(F.xxhash64(F.col(id_col).cast("long")), BITMAP_BITS), bitmap_slot(F.xxhash64(F.col(id_)), BITMAP_BITS))
+    out = stay.unionByName(near.join(dropped, same, "left_anti"))
     if several.isEmpty():
         return out
     return out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))
