@@ -36,7 +36,7 @@ class Shingles:
     a bounded table.
     """
 
-    def __init__(self, words: int, most_kept: int = 400_000):
+    def __init__(self, words: int, most_kept: int = 1 << 16):
         self.words, self.most_kept, self.kept = words, most_kept, {}
 
     def _hash(self, word: bytes) -> int:

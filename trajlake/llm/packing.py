@@ -29,7 +29,7 @@ class BpeIds:
     texts with runs of blanks, a blank at the end or a special token's string go through a whole-text path.
     """
 
-    def __init__(self, json_path: str, most_kept: int = 400_000, longest_kept: int = 48):
+    def __init__(self, json_path: str, most_kept: int = 200_000, longest_kept: int = 48):
         import json
 
         from tokenizers import Tokenizer

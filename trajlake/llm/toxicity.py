@@ -66,7 +66,7 @@ class Ordinal:
 
     def _weigh(self, word: bytes) -> float:
         total = sum(self.weights.get(f, 0.0) for f in features_of(word))
-        if len(self._words) >= 400_000:
+        if len(self._words) >= 1 << 17:
             self._words.clear()
         if len(word) <= 48:
             self._words[word] = total
