@@ -32,15 +32,22 @@ class BpeIds:
     def __init__(self, json_path: str, most_kept: int = 200_000, longest_kept: int = 48):
         import json
 
-        from tokenizers import Tokenizer
-
+        self.json_path, self._exact = json_path, None
         self.most_kept, self.longest_kept, self.kept = most_kept, longest_kept, {}
         with open(json_path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.exact = Tokenizer.from_file(json_path)
         self.fast = self._same_vocabulary(json_path)
 
+    @property
+    def exact(self):
+        """The file's own tokenizer, loaded when a text first asks for it, since it takes as much memory as all else here."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.json_path)
+        return self._exact
+
     def _same_vocabulary(self, json_path: str):
         """The same vocabulary as ranks, if its file lies beside: several times faster, ids equal (tested)."""
         import os
