@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of the survivor bitmaps. A bitmap of 2**23 bits is 256 rows of 4 KiB whatever the input, so it can be broadcast.
 BITMAP_BITS = 1 << 23
 
+#: Bytes after which a batch of rows goes to a Python worker; a longer row is a batch of its own.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 _own_folder: str | None = None
 
 
@@ -82,6 +86,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches bounded by bytes, not by rows only, since texts may be long.
+
+    The bound is a setting of the session, as Spark reads it when the plan runs; one that the session already has stays.
+    """
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import map_batches, text_or_empty
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -184,7 +184,7 @@ def encode_media(df: DataFrame, data_col: str, media_col: str, level: int = 1) -
             made = pa.array([encode_png(to_image(x.as_py() or b""), level) for x in batch.column(len(names))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], made], [*names, media_col])
 
-    return df.select(*_quoted(names), F.col(f"`{data_col}`")).mapInArrow(run, schema)
+    return df.select(*_quoted(names), F.col(f"`{data_col}`")).transform(map_batches, run, schema)
 
 
 def _quoted(names: list[str]) -> list[Column]:
@@ -220,7 +220,7 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
             arrays = [pa.array(x, kind) for x, (_, kind, _) in zip(got, made, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *arrays], [*names, *new])
 
-    return df.select(*_quoted(names), F.col(f"`{media_col}`")).mapInArrow(run, schema)
+    return df.select(*_quoted(names), F.col(f"`{media_col}`")).transform(map_batches, run, schema)
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:

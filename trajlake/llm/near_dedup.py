@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap, bitmap_marked, bitmap_slot, parted, release, text_or_empty, unused_names, written
+from .common import BITMAP_BITS, bitmap, bitmap_marked, bitmap_slot, map_batches, parted, release, text_or_empty, unused_names, written
 from .components import connected_components
 
 #: 40 bands of 6 values (minimum and maximum under three permutations): documents of similarity 0.8 share no band once in
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["_id", "_n", "_set", "_bands"])
 
-    return docs.mapInArrow(run, "_id long, _n long, _set binary, _bands array<long>")
+    return docs.transform(map_batches, run, "_id long, _n long, _set binary, _bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     slot = bitmap_slot(F.xxhash64("_node"), BITMAP_BITS)
     near = bitmap_marked(docs.withColumnRenamed("_id", "_node"), bitmap(ids, slot), slot, "_wanted").where("_wanted").drop("_wanted")
     exact = near.join(ids.withColumnRenamed("_node", "_want"), F.col("_node") == F.col("_want"), "left_semi")
-    return exact.groupBy("_node", F.xxhash64("_data").alias("_text")).agg(F.min("_data").alias("_data")).select("_node", "_data").mapInArrow(run, "_node long, _tokens array<long>").where("size(_tokens) > 0")
+    return exact.groupBy("_node", F.xxhash64("_data").alias("_text")).agg(F.min("_data").alias("_data")).select("_node", "_data").transform(map_batches, run, "_node long, _tokens array<long>").where("size(_tokens) > 0")
 
 
 def prefixes(sets: list[np.ndarray], threshold_pct: int) -> list[np.ndarray]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import map_batches, text_or_empty, written
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -223,7 +223,7 @@ def pack(
         return _frame(rows).to_pandas()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    pieces = written(base.mapInArrow(run, _SCHEMA), "pack-pieces")
+    pieces = written(base.transform(map_batches, run, _SCHEMA), "pack-pieces")
     left = pieces.where("sequence_id = -1").groupBy((F.col("part") / MERGE_FAN_IN).cast("long").alias("_group")).applyInPandas(merge_left, _SCHEMA)
     out = pieces.where("sequence_id <> -1").unionByName(left).drop("part")
     return out if keep_ids else out.drop("ids")

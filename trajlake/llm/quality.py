@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_batches, text_or_empty
 
 #: Bounds of the labelled sample: rows, and bytes of a text (longer ones are scored but not learnt from).
 MAX_TRAIN, MAX_TRAIN_BYTES = 4000, 1 << 18
@@ -150,7 +150,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], ["_id", "_x", "_y"])
 
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).where(F.octet_length("_text") <= max_bytes).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y")
-    got = sorted({r["_id"]: r for r in rows.mapInArrow(run, "_id long, _x binary, _y int").collect()}.values(), key=lambda r: r["_id"])
+    got = sorted({r["_id"]: r for r in rows.transform(map_batches, run, "_id long, _x binary, _y int").collect()}.values(), key=lambda r: r["_id"])
     bags = [np.frombuffer(bytes(r["_x"]), np.float16).astype(np.float32).reshape(-1, N_FEATURES) for r in got]
     return fit(bags, [r["_y"] for r in got])
 
@@ -170,5 +170,5 @@ def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("text"))
-    scored = base.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = base.transform(map_batches, run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_or_empty, written
+from .common import map_batches, release, text_or_empty, written
 
 LENGTH, PIECE = 100, 24
 REACH = LENGTH - PIECE + 1
@@ -619,7 +619,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(text, F.when(unnamed, F.lit(1)).otherwise(F.lit(0))).alias("_tie"), unnamed.alias("_unnamed"), F.encode(text, "UTF-8").alias("_data")
     )
-    segments = written(base.mapInArrow(_segments, _SEGMENT_SQL), "repeat-segments")
+    segments = written(base.transform(map_batches, _segments, _SEGMENT_SQL), "repeat-segments")
     lists = lambda df, value: df.groupBy("seg").agg(F.collect_list(value).alias("_list")).withColumnRenamed("seg", "_seg")
 
     flags = None
@@ -627,21 +627,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         size = segments.agg(F.sum("size")).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
         most = max(HOT, size // 35_000_000)
-        often = segments.select("seg", "ends", "text").mapInArrow(_sampled_keys, "key long").groupBy("key").count().where(F.col("count") * HOT_SAMPLE > most)
+        often = segments.select("seg", "ends", "text").transform(map_batches, _sampled_keys, "key long").groupBy("key").count().where(F.col("count") * HOT_SAMPLE > most)
         hot = np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64).view(np.uint64))  # about a million at most
         source = segments.select("seg", "ids", "ties", "ends", "text")
         if store is None:
-            keys = segments.select("seg", "ends", "text").mapInArrow(_key_blocks(parts, hot), _KEYS_SQL)
-            flags = written(keys.repartitionById(parts, F.col("part")).mapInArrow(_shared_keys, _SHARED_SQL), "repeat-shared")
+            keys = segments.select("seg", "ends", "text").transform(map_batches, _key_blocks(parts, hot), _KEYS_SQL)
+            flags = written(keys.repartitionById(parts, F.col("part")).transform(map_batches, _shared_keys, _SHARED_SQL), "repeat-shared")
             source = source.join(lists(flags, F.struct("stretch", "part", "bits")), F.col("seg") == F.col("_seg"), "left").select("seg", "ids", "ties", "ends", "text", "_list")
-        blocks = source.mapInArrow(_suffix_blocks(parts, hot, store is None), f"{_BLOCK_SQL}, marks binary")
+        blocks = source.transform(map_batches, _suffix_blocks(parts, hot, store is None), f"{_BLOCK_SQL}, marks binary")
     else:
         known = spark.read.schema("part int, payload binary, parts int, hot binary").parquet(index)
         head = known.where("part is null").first()
         parts, hot = head["parts"], np.frombuffer(head["hot"], np.uint64)
-        blocks = segments.select("seg", "ids", "ties", "ends", "text").mapInArrow(_suffix_blocks(parts, hot, False), f"{_BLOCK_SQL}, marks binary")
+        blocks = segments.select("seg", "ids", "ties", "ends", "text").transform(map_batches, _suffix_blocks(parts, hot, False), f"{_BLOCK_SQL}, marks binary")
         blocks = blocks.unionByName(known.where("part is not null").select("part", "payload", F.lit(None).cast("binary").alias("marks")))
-    judged = written(blocks.repartitionById(parts, F.col("part")).mapInArrow(_judge(store is not None), _MARKS_SQL), "repeat-marks")
+    judged = written(blocks.repartitionById(parts, F.col("part")).transform(map_batches, _judge(store is not None), _MARKS_SQL), "repeat-marks")
     if store is not None:
         meta = spark.createDataFrame([(None, None, parts, bytearray(hot.tobytes()))], "part int, payload binary, parts int, hot binary")
         levels = judged.where("seg is null").select("part", "payload", F.lit(None).cast("int").alias("parts"), F.lit(None).cast("binary").alias("hot"))
@@ -649,5 +649,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if flags is not None:
         release(flags)
     own = lists(judged.where("seg is not null"), F.col("marks"))
-    out = segments.join(own, F.col("seg") == F.col("_seg"), "left").withColumnRenamed("_list", "_marks").drop("seg", "_seg", "ties").mapInArrow(_cut(keep_text), _RESULT_SQL)
+    out = segments.join(own, F.col("seg") == F.col("_seg"), "left").withColumnRenamed("_list", "_marks").drop("seg", "_seg", "ties").transform(map_batches, _cut(keep_text), _RESULT_SQL)
     return out.withColumnRenamed("id", id_col).select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if keep_text else []))

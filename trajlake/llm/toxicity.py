@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_batches, text_or_empty
 
 #: Bounds of the labelled sample: rows, and bytes of a text (longer ones are judged but not learnt from).
 MAX_TRAIN, MAX_TRAIN_BYTES = 3000, 1 << 18
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (margins, p[:, 0], p[:, 1], p.sum(1), p[:, 0] >= THRESHOLD))], ["doc_id", "margin", "p_mild", "p_severe", "severity", "toxic"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, margin double, p_mild double, p_severe double, severity double, toxic boolean")
+    return base.transform(map_batches, run, "doc_id long, margin double, p_mild double, p_severe double, severity double, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
@@ -237,4 +237,4 @@ def keep_clean(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataF
             kept = model.severity(margins)[:, 0] < THRESHOLD
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in batch.columns], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_batches, run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap, bitmap_marked, bitmap_slot, fresh_path, release, written
+from .common import BITMAP_BITS, bitmap, bitmap_marked, bitmap_slot, fresh_path, map_batches, release, written
 
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_FROM = 1000
@@ -156,7 +156,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.close()
 
     schema = "key string, page_id long, file string, offset long, length long, lost string"
-    captures = written(alone.unionByName(joined).mapInArrow(run, schema), "warc-captures")
+    captures = written(alone.unionByName(joined).transform(map_batches, run, schema), "warc-captures")
     release(groups)
     lost = captures.where("lost is not null").select("page_id", "lost").distinct()
     captures = captures.where("lost is null").drop("lost")
@@ -166,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     near = bitmap_marked(base, bitmap(of_lost, of_top), of_top, "_near").where("_near")
     again = near.join(lost, (F.col("_sha1") == F.col("lost")) & F.col("_id").eqNullSafe(F.col("page_id")), "left_semi")
     again = again.select("_id", "_url", "_payload", "_size", "_sha1", F.lit(None).cast("long").alias("_refers"), F.lit(False).alias("_lost"))
-    return captures.unionByName(written(again.mapInArrow(run, schema), "warc-captures").drop("lost"))
+    return captures.unionByName(written(again.transform(map_batches, run, schema), "warc-captures").drop("lost"))
 
 
 def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -211,7 +211,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], ["first_key", "last_key", "file", "offset", "length", "lines"])
 
-    return written(keyed.mapInArrow(run, "first_key string, last_key string, file string, offset long, length long, lines long"), "warc-directory")
+    return written(keyed.transform(map_batches, run, "first_key string, last_key string, file string, offset long, length long, lines long"), "warc-directory")
 
 
 def _lines(ranges: _Ranges, file: str, offset: int, length: int) -> list[list[str]]:
@@ -324,9 +324,9 @@ def look_up(directory: DataFrame, wanted: DataFrame, id_col: str = "page_id", ur
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(map(surt, batch.column(1).to_pylist()), pa.string()), batch.column(0)], ["key", "id"])
 
-    keyed = wanted.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(key, "key string, id long").distinct()
+    keyed = wanted.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).transform(map_batches, key, "key string, id long").distinct()
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = keyed.repartitionByRange(tasks, "key", "id").sortWithinPartitions("key", "id").mapInArrow(run, schema)
+    out = keyed.repartitionByRange(tasks, "key", "id").sortWithinPartitions("key", "id").transform(map_batches, run, schema)
     return out if keep_payload else out.drop("payload")
 
 
