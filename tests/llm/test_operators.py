@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -655,3 +656,25 @@ def test_quality(spark, docs, empty):
     f = quality._forward(model.params, (x - model.mean) / model.scale, np.array([0] + [1] * (len(x) - 1)), 2)
     assert np.bincount([0] + [1] * (len(x) - 1), f["a"]) == pytest.approx([1, 1])
     assert quality.fit([], []).scores([quality.passages("q")])[0] == pytest.approx(0.5)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long texts reach Python in several batches, whole and in order; a bound that the session has stays."""
+    from trajlake.llm.common import BATCH_BYTES, BATCH_KEY, map_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    before = spark.conf.get(BATCH_KEY, None)
+    try:
+        spark.conf.unset(BATCH_KEY)
+        got = map_batches(texts, sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 40 and len(got) >= 8 and max(r["bytes"] for r in got) <= BATCH_BYTES + (2 << 20)
+        spark.conf.set(BATCH_KEY, 32 << 20)
+        assert len(map_batches(texts, sizes, "n long, bytes long").collect()) < len(got) and spark.conf.get(BATCH_KEY) == str(32 << 20)
+    finally:
+        spark.conf.unset(BATCH_KEY)
+        if before is not None:
+            spark.conf.set(BATCH_KEY, before)
