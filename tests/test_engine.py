@@ -1,10 +1,13 @@
 """Every query against its SQL, and the operators on hand-made edge cases."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trajlake import catalog
+from trajlake.functions.frechet import Lists
 from trajlake.operators import batch, knn, quadtree, range_query, segments, tools
 from trajlake.operators import trajectories as T
 from trajlake.plans import oracle
@@ -204,3 +207,29 @@ def test_metrics_by_job_and_stage(spark, tmp_path):
     results = spark.createDataFrame([(0, 5), (1, 6), (7, 8)], "query long, n int")
     stages = spark.createDataFrame([(0, 1, 2.0), (0, 0, 1.0), (1, 2, 3.0)], "query long, stage_id int, seconds double")
     assert {tuple(r) for r in tools.merge_stages(results, stages, 2).collect()} == {(0, 5, 1.0, 2.0), (1, 6, 3.0, None), (7, 8, None, None)}
+
+
+def test_batch_stores_no_tables(spark, tmp_path, monkeypatch):
+    """The search needs whole trajectories only; tracklets and their layout, several times the input, are not written for it."""
+    want = {tuple(r) for r in catalog.QUERIES["batch_range"](spark, SF).collect()}
+    (tmp_path / "lineitem.parquet").symlink_to(f"{SF}/lineitem.parquet")
+    monkeypatch.setattr(catalog, "write_trajectories", lambda *a: pytest.fail("a layout is written"))
+    assert {tuple(r) for r in catalog.QUERIES["batch_range"](spark, str(tmp_path)).collect()} == want and want
+
+
+def test_batch_decides_equal_trajectories_once(spark, monkeypatch):
+    """700 copies of each of three trajectories: few rows are decided, all pairs are listed."""
+    shapes = [[(0.0, 0.0), (5.0, 5.0)], [(0.0, 0.0), (5.0, 5.0), (5.0, 6.0)], [(30.0, 0.0), (5.0, 5.0)]]
+    whole = spark.createDataFrame([(k, [*shapes[k % 3]]) for k in range(2100)], "id long, pts array<struct<x double, y double>>").repartition(7)
+    made = batch.classes(whole, "id").collect()
+    assert sorted(k for r in made for k in r["_ids"]) == list(range(2100)) and len(made) < 40 and max(len(r["_ids"]) for r in made) <= batch.MEMBERS
+    assert all(list(zip(r["_u"], r["_v"], strict=True)) == shapes[k % 3] for r in made for k in r["_ids"])
+    queries = whole.where("id % 100 = 0").withColumnRenamed("id", "qid")
+    got = [tuple(r) for r in batch.pairs_within(whole, queries, 1.5).collect()]
+    assert sorted(got) == [(q, k) for q in range(0, 2100, 100) for k in range(2100) if (q % 3 == 2) == (k % 3 == 2)]
+
+
+def test_equal_hashes_of_different_trajectories_stay_apart():
+    lists = lambda rows: Lists(pa.array(rows, pa.list_(pa.float64())))
+    x, y = [[1.0, 2.0], [1.0, 2.0], [1.0, 3.0], [1.0], [1.0], [1.0]], [[0.0, 0.0], [0.0, 0.0], [0.0, 0.0], [0.0], [4.0], [4.0]]
+    assert batch._equal_to_previous(np.zeros(6, int), [lists(x), lists(y)]).tolist() == [False, True, False, False, False, True]
